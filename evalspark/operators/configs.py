@@ -87,6 +87,7 @@ def overlay_presets(requests: DataFrame) -> DataFrame:
         F.concat(F.lit("unknown preset: "), missing)).cast("string")).otherwise(F.col("experiment"))
     return j.select(
         checked_exp.alias("experiment"), "model", "model_id", "runtime", "method", "scope",
+        F.col("req_rank").alias("requested_rank"),
         F.coalesce("ovr_learning_rate", "model_learning_rate").alias("learning_rate"),
         F.coalesce(F.col("req_rank"), F.col("ovr_rank"), F.col("exp_rank"),
                    F.lit(d["rank"])).cast("int").alias("rank"),
