@@ -90,7 +90,7 @@ delta as (select b.row_idx, a.j, sum(b.b * a.a) * {S} as d from Bc b join A a on
 merged as (select w.row_idx, w.j, w.w, w.w + d.d as md from W w join delta d
            on w.row_idx = d.row_idx and w.j = d.j),
 mnorm as (select row_idx, sqrt(sum(md * md)) as nrm from merged group by row_idx),
-X as (select r_regionkey as x_id, j, cast(((r_regionkey * 7 + j) % 11 - 5) as double) / 10 as x
+X as (select cast(r_regionkey as bigint) as x_id, j, cast(((r_regionkey * 7 + j) % 11 - 5) as double) / 10 as x
       from region, (select unnest(range(64)) as j) jj),
 ax as (select x.x_id, a.k, sum(a.a * x.x) as ax from A a join X x on a.j = x.j group by x.x_id, a.k),
 wx as (select x.x_id, w.row_idx, sum(w.w * x.x) as wx from W w join X x on w.j = x.j

@@ -74,7 +74,7 @@ def q_encode_tokens(spark, sf):
     t = P.training_with_prompts(spark, sf)
     enc = S.encode_tokens(t, "full_prompt", P.vocabulary(spark, sf), ["conv_id", "turn"],
                           out="raw_ids")
-    return enc.select("conv_id", "turn", F.size("raw_ids").alias("n_tokens"),
+    return enc.select("conv_id", "turn", F.size("raw_ids").cast("bigint").alias("n_tokens"),
                       _txt("raw_ids").alias("ids_text"))
 
 
@@ -82,7 +82,7 @@ def q_encode_tokens(spark, sf):
        f"{_sql_txt('input_ids')} as ids_text from seqs")
 def q_truncate_append_eos(spark, sf):
     tok = P.tokenized(spark, sf, CUTOFF)
-    return tok.select("conv_id", "turn", F.size("input_ids").alias("n_tokens"),
+    return tok.select("conv_id", "turn", F.size("input_ids").cast("bigint").alias("n_tokens"),
                       _txt("input_ids").alias("ids_text"))
 
 
