@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from evalspark import constants as K
 from evalspark.functions.vectors import add, combine, dot, l2_norm, matvec, scale
-from evalspark.operators.common import sized_broadcast
+from evalspark.operators.common import require, sized_broadcast
 
 NORM_FLOOR = 1e-12
 SUPPORTED_TYPES = ("Linear", "Linear4bit")
@@ -47,20 +47,17 @@ def select_modules(modules: DataFrame, scopes: Sequence[str] = K.SCOPES,
         cond = branch if cond is None else cond | branch
     selected = fanned.filter(cond)
     if type_col is not None:
-        bad = ~F.col(type_col).isin(*SUPPORTED_TYPES)
-        selected = selected.withColumn(type_col, F.when(bad, F.raise_error(F.concat(
-            F.lit("unsupported target module type: "), F.col(type_col))).cast("string")
-        ).otherwise(F.col(type_col)))
+        selected = require(selected, F.col(type_col).isin(*SUPPORTED_TYPES), F.concat(
+            F.lit("unsupported target module type: "), F.coalesce(F.col(type_col), F.lit("NULL"))))
     # Per (model, scope) zero-match check over a small aggregate.
     hits = selected.groupBy("model", "scope").agg(F.count(F.lit(1)).alias("_hits"))
     pairs = modules.select("model").distinct().withColumn(
         "scope", F.explode(F.array(*[F.lit(s) for s in scopes])))
-    checked = pairs.join(hits, ["model", "scope"], "left").select(
-        "model", "scope",
-        F.when(F.col("_hits").isNull(), F.raise_error(F.concat(
-            F.lit("target modules not found for model "), F.col("model"), F.lit(" scope "),
-            F.col("scope"))).cast("long")).otherwise(F.col("_hits")).alias("_hits"))
-    return selected.join(checked, ["model", "scope"]).drop("_hits")
+    checked = require(
+        pairs.join(hits, ["model", "scope"], "left"), F.col("_hits").isNotNull(),
+        F.concat(F.lit("target modules not found for model "), F.col("model"),
+                 F.lit(" scope "), F.col("scope")))
+    return selected.join(checked.select("model", "scope"), ["model", "scope"], "left_semi")
 
 
 def adapter_parameters(selected: DataFrame, ranks: Sequence[int],
@@ -103,9 +100,8 @@ def reconcile_names(expected: DataFrame, loaded: DataFrame,
 
 def require_reconciled(diff: DataFrame) -> DataFrame:
     """H3 strict: any mismatch raises when the result is computed."""
-    return diff.withColumn("kind", F.raise_error(F.concat(
-        F.lit("Adapter checkpoint mismatch: "), F.col("kind"), F.lit(" "),
-        F.col("param_name"))).cast("string"))
+    return require(diff, F.lit(False), F.concat(
+        F.lit("Adapter checkpoint mismatch: "), F.col("kind"), F.lit(" "), F.col("param_name")))
 
 
 def row_magnitude(weights: DataFrame, w_col: str = "w", out: str = "magnitude") -> DataFrame:

@@ -20,6 +20,17 @@ BROADCAST_ROW_LIMIT = 1_000_000
 GROUP_LIMIT_THRESHOLD = 1000
 
 
+def require(df: DataFrame, ok: Column, message: Column | str) -> DataFrame:
+    """Fail the job when any row breaks ``ok``.
+
+    The check is a filter predicate (``assert_true`` returns NULL when it
+    holds), so column pruning cannot drop it the way it drops an unused
+    ``raise_error`` column.
+    """
+    msg = F.lit(message) if isinstance(message, str) else message
+    return df.filter(F.assert_true(ok, msg).isNull())
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked)."""
     n = df.limit(max_rows + 1).count()

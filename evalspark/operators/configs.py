@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark import constants as K
-from evalspark.operators.common import sized_broadcast
+from evalspark.operators.common import require, sized_broadcast
 
 
 def experiment_presets(spark: SparkSession,
@@ -58,10 +58,6 @@ def runtime_presets(spark: SparkSession,
         "gradient_checkpointing boolean, use_4bit boolean"))
 
 
-def _require(col: str, what: str):
-    return F.when(F.col(col).isNull(), F.raise_error(F.lit(f"unknown {what} preset")))
-
-
 def overlay_presets(requests: DataFrame) -> DataFrame:
     """One spec row per requested run.
 
@@ -83,10 +79,9 @@ def overlay_presets(requests: DataFrame) -> DataFrame:
     missing = (F.when(F.col("task_names").isNull(), F.lit("experiment"))
                 .when(F.col("model_id").isNull(), F.lit("model"))
                 .when(F.col("per_device_batch_size").isNull(), F.lit("runtime")))
-    checked_exp = F.when(missing.isNotNull(), F.raise_error(
-        F.concat(F.lit("unknown preset: "), missing)).cast("string")).otherwise(F.col("experiment"))
+    j = require(j, missing.isNull(), F.concat(F.lit("unknown preset: "), F.coalesce(missing, F.lit(""))))
     return j.select(
-        checked_exp.alias("experiment"), "model", "model_id", "runtime", "method", "scope",
+        "experiment", "model", "model_id", "runtime", "method", "scope",
         F.col("req_rank").alias("requested_rank"),
         F.coalesce("ovr_learning_rate", "model_learning_rate").alias("learning_rate"),
         F.coalesce(F.col("req_rank"), F.col("ovr_rank"), F.col("exp_rank"),

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from evalspark.operators import normalize as N
 
+JOB_ERRORS = (PySparkException, Py4JJavaError)
+
 
 def _one(df):
     rows = df.collect()
@@ -53,7 +56,7 @@ def test_hellaswag(spark):
 
 def test_hellaswag_needs_four_endings(spark):
     df = spark.createDataFrame([("ctx", ["e1", "e2"], 0)], "ctx string, endings array<string>, label int")
-    with pytest.raises(PySparkException):
+    with pytest.raises(JOB_ERRORS):
         N.normalize_hellaswag(df).collect()
 
 

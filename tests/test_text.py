@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from evalspark.functions.text import (
     user_prompt,
 )
 
+JOB_ERRORS = (PySparkException, Py4JJavaError)
+
 
 def _extract(spark, rows):
     df = spark.createDataFrame(rows, "task string, text string")
@@ -38,7 +41,7 @@ def test_extraction_first_match_lowercase_and_empty(spark):
 
 
 def test_extraction_unknown_task_raises(spark):
-    with pytest.raises(PySparkException):
+    with pytest.raises(JOB_ERRORS):
         _extract(spark, [("nope", "true")])
 
 
@@ -71,7 +74,7 @@ def test_label_to_index(spark):
     df = spark.createDataFrame([(k,) for k in "ABCDE12345"], "k string")
     assert [r[0] for r in df.select(label_to_index("k")).collect()] == [1, 2, 3, 4, 5] * 2
     bad = spark.createDataFrame([("F",)], "k string")
-    with pytest.raises(PySparkException):
+    with pytest.raises(JOB_ERRORS):
         bad.select(label_to_index("k")).collect()
 
 
