@@ -24,8 +24,18 @@ def add(a: Column | str, b: Column | str) -> Column:
 
 
 def scale(a: Column | str, s: Column | float) -> Column:
-    factor = s if isinstance(s, Column) else F.lit(float(s))
-    return F.transform(col_of(a), lambda x: x * factor)
+    """Multiply every element by ``s``.
+
+    A column factor (e.g. ``m / ||d||``) is repeated once per row and zipped
+    in, rather than referenced inside the lambda: the optimizer may inline
+    the factor's expression into a lambda, which would re-evaluate it for
+    every element (quadratic in the vector width).
+    """
+    arr = col_of(a)
+    if not isinstance(s, Column):
+        factor = F.lit(float(s))
+        return F.transform(arr, lambda x: x * factor)
+    return F.zip_with(arr, F.array_repeat(s, F.size(arr)), lambda x, g: x * g)
 
 
 def as_double_array(a: Column | str) -> Column:

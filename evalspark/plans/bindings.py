@@ -17,8 +17,23 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+# Resolved scans per (session, path): a DataFrame is an immutable plan, so
+# reusing it skips repeated file listing and footer reads (no data is held).
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    df = _SCANS.get(key)
+    if df is None:
+        df = _SCANS.setdefault(key, spark.read.parquet(path))
+    return df
+
+
+def forget_scans() -> None:
+    """Drop memoised scans (e.g. after the files under a path changed)."""
+    _SCANS.clear()
 
 
 def _case(key: Column, values: list[str]) -> Column:

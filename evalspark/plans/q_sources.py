@@ -247,7 +247,11 @@ def q_write_tables(spark, sf):
         "task_summary": (a.task_summary, _TABLE_HEADERS["task_summary"]),
         "official_reference_comparison": (comp, _TABLE_HEADERS["official_reference_comparison"]),
     }
-    paths = writers.write_tables(scratch_path(spark, "tables"), tables)
+    from evalspark.operators.common import ord_of
+    order = {"scope_summary": ord_of(F.col("scope"), list(K.SCOPES)),
+             "dora_gains_table": ord_of(F.col("scope"), list(K.SCOPES)),
+             "task_summary": ord_of(F.col("task"), list(K.TASKS))}
+    paths = writers.write_tables(scratch_path(spark, "tables"), tables, sort_by=order)
     out = None
     for name, path in paths.items():
         back = spark.read.option("header", True).csv(path)

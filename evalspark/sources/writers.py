@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,11 +38,15 @@ def write_metrics_json(df: DataFrame, root: str, run_col: str = "run_name",
 
 
 def write_tables(out_dir: str, tables: Mapping[str, tuple[DataFrame, Sequence[str]]],
-                 mode: str = "overwrite") -> dict[str, str]:
-    """Headered CSVs with a fixed column order, one folder per table."""
+                 mode: str = "overwrite", sort_by: Mapping[str, Column] | None = None
+                 ) -> dict[str, str]:
+    """Headered CSVs with a fixed column order, one folder per table;
+    ``sort_by`` gives an optional row order per table (e.g. vocabulary order)."""
     paths: dict[str, str] = {}
     for name, (df, order) in tables.items():
         path = f"{out_dir.rstrip('/')}/{name}"
+        if sort_by and name in sort_by:
+            df = df.orderBy(sort_by[name])
         df.select(*[F.col(f"`{c}`") for c in order]).write.mode(mode).option(
             "header", True).csv(path)
         paths[name] = path
