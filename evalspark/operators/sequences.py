@@ -2,8 +2,9 @@
 
 Token ids are produced by a word-level vocabulary table (the tokenizer shape
 the reference's tests use): split on ``\\w+|[^\\w\\s]+``, look each piece up,
-unknown pieces get the unk id. The vocabulary is a (checked-size) broadcast
-side; texts never leave their partition until the one regroup shuffle.
+unknown pieces get the unk id. A vocabulary of checked size travels to every
+task as one broadcast map, so encoding is a narrow projection; only a
+vocabulary too large to broadcast falls back to a join (one shuffle).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from evalspark import constants as K
 from evalspark.functions.text import col_of
-from evalspark.operators.common import dense_position, first_n, sized_broadcast
+from evalspark.operators.common import dense_position, first_n
 
 
 def cap_samples(df: DataFrame, n: int | None, order_cols: Sequence[str] = ("pos",)) -> DataFrame:
@@ -35,19 +36,51 @@ def build_vocabulary(texts: DataFrame, text_col: str = "text", size: int = 200,
     return top.select("token", (F.row_number().over(w) + (first_id - 1)).cast("int").alias("id"))
 
 
+# Vocabularies up to this many entries are shipped to every task as one map
+# (no shuffle of token rows); larger ones fall back to an equi-join.
+VOCAB_BROADCAST_LIMIT = 2_000_000
+
+
+def attach_vocabulary(df: DataFrame, vocab: DataFrame) -> DataFrame | None:
+    """Add the vocabulary as one broadcast MAP column ``_vmap``; None when the
+    vocabulary exceeds ``VOCAB_BROADCAST_LIMIT`` (checked with a bounded count)."""
+    if vocab.limit(VOCAB_BROADCAST_LIMIT + 1).count() > VOCAB_BROADCAST_LIMIT:
+        return None
+    vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col("token"), F.col("id").cast("int")))).alias("_vmap"))
+    # A single row of proven size: every task gets the same dictionary.
+    return df.join(F.broadcast(vmap), how="cross")
+
+
+def lookup_ids(pieces: Column, unk_id: int = K.UNK_ID) -> Column:
+    """Token pieces -> ids through the attached ``_vmap`` (unknown -> unk)."""
+    return F.transform(pieces, lambda t: F.coalesce(F.element_at(F.col("_vmap"), t),
+                                                    F.lit(unk_id)))
+
+
+def _pieces(c: Column | str) -> Column:
+    return F.regexp_extract_all(col_of(c), F.lit(K.TOKEN_PATTERN), 0)
+
+
 def encode_tokens(df: DataFrame, text_col: str, vocab: DataFrame, key_cols: Sequence[str],
                   out: str = "input_ids", unk_id: int = K.UNK_ID,
                   carry: Sequence[str] = ()) -> DataFrame:
     """Text -> ARRAY<INT> of token ids (unknown -> ``unk_id``).
 
-    posexplode -> broadcast equi-join with the vocabulary -> ordered regroup
-    by the row key (one shuffle, groups are one text each). ``key_cols`` must
-    identify a row; ``carry`` columns ride along.
+    Default path (vocabulary of at most ``VOCAB_BROADCAST_LIMIT`` entries,
+    checked): the vocabulary is folded into a single MAP row, broadcast, and
+    each text's pieces are looked up in place with ``transform`` -- narrow,
+    no token rows are ever shuffled. Beyond the limit: posexplode -> equi-join
+    with the vocabulary -> ordered regroup by the row key (one shuffle).
+    ``key_cols`` must identify a row; ``carry`` columns ride along.
     """
-    pieces = df.select(*key_cols, *carry, F.posexplode_outer(F.regexp_extract_all(
-        col_of(text_col), F.lit(K.TOKEN_PATTERN), 0)).alias("_tpos", "_tok"))
-    v = sized_broadcast(vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_tid")))
-    joined = pieces.join(v, "_tok", "left")
+    pieces = F.regexp_extract_all(col_of(text_col), F.lit(K.TOKEN_PATTERN), 0)
+    attached = attach_vocabulary(df, vocab)
+    if attached is not None:
+        return attached.select(*key_cols, *carry, lookup_ids(pieces, unk_id).alias(out))
+    exploded = df.select(*key_cols, *carry, F.posexplode_outer(pieces).alias("_tpos", "_tok"))
+    v = vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_tid"))
+    joined = exploded.join(v, "_tok", "left")
     item = F.when(F.col("_tok").isNotNull(),
                   F.struct(F.col("_tpos"), F.coalesce(F.col("_tid"), F.lit(unk_id)).alias("i")))
     grouped = joined.groupBy(*key_cols).agg(
@@ -84,9 +117,16 @@ def tokenize_examples(samples: DataFrame, vocab: DataFrame, key_cols: Sequence[s
                       eos_id: int = K.EOS_ID, unk_id: int = K.UNK_ID) -> DataFrame:
     """D2-D5 together: ``full_prompt`` and ``user_prompt`` columns in, model
     inputs out (input_ids, attention_mask, labels, prompt_len)."""
-    full = encode_tokens(samples, "full_prompt", vocab, key_cols, out="_full", unk_id=unk_id)
-    user = encode_tokens(samples, "user_prompt", vocab, key_cols, out="_user", unk_id=unk_id)
-    both = full.join(user, list(key_cols))
+    attached = attach_vocabulary(samples, vocab)
+    if attached is not None:
+        # Both prompts encoded in one narrow projection: no shuffle at all.
+        both = attached.withColumn("_full", lookup_ids(_pieces("full_prompt"), unk_id)) \
+                       .withColumn("_user", lookup_ids(_pieces("user_prompt"), unk_id)) \
+                       .drop("_vmap")
+    else:
+        full = encode_tokens(samples, "full_prompt", vocab, key_cols, out="_full", unk_id=unk_id)
+        user = encode_tokens(samples, "user_prompt", vocab, key_cols, out="_user", unk_id=unk_id)
+        both = full.join(user, list(key_cols))
     ids = truncate_append_eos("_full", cutoff, eos_id)
     prompt_len = F.least(F.size("_user"), F.lit(cutoff))
     return (both.withColumn("input_ids", ids)

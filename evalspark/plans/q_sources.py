@@ -158,6 +158,17 @@ def q_write_metrics_json(spark, sf):
     return rounded(back.select(F.col("_run").alias("run_dir"), "macro_average", "n_tasks"))
 
 
+@query("empty_summary", RUN_SQL + "select cast(null as varchar) as run_name, "
+       "cast(null as double) as macro_average from runs where n_tasks = 0")
+def q_empty_summary(spark, sf):
+    """summarise the runs that evaluated no task -- none exist, so no
+    metrics file is written and the summary is the bare header."""
+    rows = run_metric_rows(spark, sf).filter(F.col("n_tasks") == 0)
+    root = writers.write_metrics_json(rows, scratch_path(spark, "metrics-none"))
+    metrics = readers.read_run_metrics(spark, root, pattern="*/*.json")
+    return R.summarize_runs(metrics, spark=spark)
+
+
 @query("read_run_metadata", RUN_SQL + "select run_name as run_dir, trainable_parameters, "
        "total_parameters from meta2")
 def q_read_run_metadata(spark, sf):

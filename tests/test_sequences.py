@@ -104,3 +104,16 @@ def test_build_vocabulary(spark):
     df = spark.createDataFrame([("b a a",), ("c a b",)], "text string")
     got = [(r.token, r.id) for r in D.build_vocabulary(df, size=2).orderBy("id").collect()]
     assert got == [("a", 4), ("b", 5)]
+
+
+def test_encode_join_fallback_matches_broadcast(spark, vocab, monkeypatch):
+    df = spark.createDataFrame([(1, "Answer true or false. Q2"), (2, "the request is"), (3, "")],
+                               "k int, text string")
+    fast = {r.k: list(r.ids) for r in D.encode_tokens(df, "text", vocab, ["k"], out="ids").collect()}
+    monkeypatch.setattr(D, "VOCAB_BROADCAST_LIMIT", 3)  # vocabulary now "too big" to broadcast
+    slow = {r.k: list(r.ids) for r in D.encode_tokens(df, "text", vocab, ["k"], out="ids").collect()}
+    assert fast == slow
+    both = spark.createDataFrame([(1, "Answer true Q1", "Answer true")],
+                                 "k int, full_prompt string, user_prompt string")
+    r = D.tokenize_examples(both, vocab, ["k"], cutoff=128).collect()[0]
+    assert list(r.labels) == [-100, -100, 24, 2]
