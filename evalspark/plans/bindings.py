@@ -3,7 +3,7 @@
 Each function reads parquet tables under ``sf_dir`` and returns a DataFrame
 with the shape an operator expects (predictions, raw benchmark rows,
 training samples, modules, weight rows ...). The same derivations are
-written in DuckDB SQL in :mod:`evalspark.plans.oracle`.
+written in DuckDB SQL next to each registered query (``plans/q_*.py``, ``plans/sql.py``).
 """
 
 from __future__ import annotations
