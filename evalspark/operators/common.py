@@ -69,28 +69,47 @@ def ord_of(key: Column, vocabulary: Sequence[str]) -> Column:
     return map_literal({v: i for i, v in enumerate(vocabulary)}, key)
 
 
+_ROW_BITS = 33  # monotonically_increasing_id = (partition index << 33) + row index
+
+
 def dense_position(df: DataFrame, order_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), out: str = "pos0") -> DataFrame:
     """Exact 0-based row index within each ``partition_cols`` group, in
     ``order_cols`` order (which must be unique within a group).
 
-    ``row_number()`` over a whole group would send the group to one task. We
-    instead range-partition on (group, order) so a hot group spans many
-    tasks, number rows locally per range partition, and add the running count
-    of the earlier range partitions of the same group. The offsets table has
-    one row per (range partition, group), so it is small and broadcast.
+    ``row_number()`` over a whole group would send the group to one task.
+    Instead the rows are range-partitioned and sorted on (group, order) --
+    the only full shuffle -- so a hot group spans many tasks. Inside a range
+    partition the row index is the low bits of ``monotonically_increasing_id``
+    (dense, in sorted order). A small table of (range partition, group) ->
+    first index, row count, and the running count of earlier partitions is
+    broadcast back. ``partition_cols`` must be low-cardinality (tasks, not
+    ids): that table has at most one row per range partition and group.
+
+    The indexed rows feed two branches (the stats and the final join). Two
+    separate range exchanges could sample different bounds, so the indexed
+    rows are written once with a reliable ``checkpoint()`` into the shared
+    checkpoint folder; both branches read the same partition ids, and a lost
+    executor re-reads the files instead of re-sampling.
     """
+    from evalspark.session import cut_lineage
+
     keys = [*partition_cols, *order_cols]
-    ranged = df.repartitionByRange(*keys).withColumn("_rp", F.spark_partition_id())
-    w_local = Window.partitionBy("_rp", *partition_cols).orderBy(*order_cols)
-    local = ranged.withColumn("_local", F.row_number().over(w_local) - 1)
-    counts = local.groupBy("_rp", *partition_cols).agg(F.count(F.lit(1)).alias("_n"))
+    mid = F.col("_mid")
+    ranged = cut_lineage(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+          .withColumn("_mid", F.monotonically_increasing_id())
+          .withColumn("_rp", F.shiftright(mid, _ROW_BITS))
+          .withColumn("_ri", mid.bitwiseAND((1 << _ROW_BITS) - 1))
+          .drop("_mid"))
+    stats = ranged.groupBy("_rp", *partition_cols).agg(
+        F.min("_ri").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w_prev = (Window.partitionBy(*partition_cols) if partition_cols else Window.partitionBy())
     w_prev = w_prev.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_prev), F.lit(0))).drop("_n")
-    joined = local.join(F.broadcast(offsets), ["_rp", *partition_cols])
-    return joined.withColumn(out, (F.col("_off") + F.col("_local")).cast("long")).drop(
-        "_rp", "_local", "_off")
+    offsets = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w_prev), F.lit(0))).drop("_n")
+    joined = ranged.join(F.broadcast(offsets), ["_rp", *partition_cols])
+    pos = F.col("_off") + F.col("_ri") - F.col("_first")
+    return joined.withColumn(out, pos.cast("long")).drop("_rp", "_ri", "_first", "_off")
 
 
 def first_n(df: DataFrame, n: int | None, order_cols: Sequence[str],

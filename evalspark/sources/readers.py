@@ -65,16 +65,20 @@ def lines_with_position(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their exact 0-based position across the file(s) in
     path order: (pos BIGINT, line STRING).
 
-    DataFrames carry no line numbers, so this is the one place we use the
-    RDD API: Hadoop splits come back in file/offset order and
-    ``zipWithIndex`` numbers them with one small counting job (distributed,
-    no single-task funnel).
+    DataFrames carry no line numbers, but every row knows its file and split
+    (``_metadata.file_path``, ``file_block_start``) and rows of a split come
+    in file order, so (file, split start, scan order) is the line order.
+    Dense positions over that key are computed without a single-task funnel
+    and without leaving the JVM.
     """
-    files = sorted(spark.read.text(path).inputFiles())
-    if not files:
-        raise FileNotFoundError(path)
-    rdd = spark.sparkContext.textFile(",".join(files)).zipWithIndex()
-    return spark.createDataFrame(rdd.map(lambda t: (t[1], t[0])), "pos bigint, line string")
+    from evalspark.operators.common import dense_position
+
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_f"),
+        F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_m"),
+        F.col("value").alias("line"))
+    return dense_position(text, ["_f", "_b", "_m"], out="pos").select("pos", "line")
 
 
 def zip_labels(spark: SparkSession, records_path: str, labels_path: str,

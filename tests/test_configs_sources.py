@@ -155,3 +155,19 @@ def test_results_csv_and_tables(spark, tmp_dir):
     out = writers.write_jsonl(df, os.path.join(tmp_dir, "j"))
     first = spark.read.text(out).collect()[0].value
     assert list(json.loads(first)) == ["macro_average", "method", "scope"]
+
+
+def test_lines_with_position_many_splits(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "lines")
+    os.makedirs(d)
+    for f in range(3):
+        with open(os.path.join(d, f"part-{f}.txt"), "w") as fh:
+            fh.write("\n".join(f"f{f}-l{i}" + "x" * (i % 7) for i in range(400)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # many splits per file
+    try:
+        got = [(r.pos, r.line) for r in readers.lines_with_position(spark, d).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [(f * 400 + i, f"f{f}-l{i}" + "x" * (i % 7)) for f in range(3) for i in range(400)]
+    assert sorted(got) == want
