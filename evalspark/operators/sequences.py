@@ -2,9 +2,8 @@
 
 Token ids are produced by a word-level vocabulary table (the tokenizer shape
 the reference's tests use): split on ``\\w+|[^\\w\\s]+``, look each piece up,
-unknown pieces get the unk id. A vocabulary of checked size travels to every
-task as one broadcast map, so encoding is a narrow projection; only a
-vocabulary too large to broadcast falls back to a join (one shuffle).
+unknown pieces get the unk id. Lookups go through a broadcast hash join
+(vocabulary of checked size); only the texts are shuffled, once, by row key.
 """
 
 from __future__ import annotations
@@ -36,57 +35,57 @@ def build_vocabulary(texts: DataFrame, text_col: str = "text", size: int = 200,
     return top.select("token", (F.row_number().over(w) + (first_id - 1)).cast("int").alias("id"))
 
 
-# Vocabularies up to this many entries are shipped to every task as one map
-# (no shuffle of token rows); larger ones fall back to an equi-join.
+# Vocabularies up to this many entries are broadcast as a hash-join side;
+# larger ones are joined by a shuffle on the token (AQE splits hot tokens).
 VOCAB_BROADCAST_LIMIT = 2_000_000
 
 
-def attach_vocabulary(df: DataFrame, vocab: DataFrame) -> DataFrame | None:
-    """Add the vocabulary as one broadcast MAP column ``_vmap``; None when the
-    vocabulary exceeds ``VOCAB_BROADCAST_LIMIT`` (checked with a bounded count)."""
-    if vocab.limit(VOCAB_BROADCAST_LIMIT + 1).count() > VOCAB_BROADCAST_LIMIT:
-        return None
-    vmap = vocab.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col("token"), F.col("id").cast("int")))).alias("_vmap"))
-    # A single row of proven size: every task gets the same dictionary.
-    return df.join(F.broadcast(vmap), how="cross")
+def _pieces(c: Column | str) -> Column:
+    return F.regexp_extract_all(col_of(c), F.lit(K.TOKEN_PATTERN), 0)
 
 
-def lookup_ids(pieces: Column, unk_id: int = K.UNK_ID) -> Column:
-    """Token pieces -> ids through the attached ``_vmap`` (unknown -> unk)."""
-    return F.transform(pieces, lambda t: F.coalesce(F.element_at(F.col("_vmap"), t),
-                                                    F.lit(unk_id)))
+def _vocab_side(vocab: DataFrame) -> DataFrame:
+    side = vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_tid"))
+    small = vocab.limit(VOCAB_BROADCAST_LIMIT + 1).count() <= VOCAB_BROADCAST_LIMIT
+    return F.broadcast(side) if small else side
 
 
-def _pieces(c: Column | str) -> Column:
-    return F.regexp_extract_all(col_of(c), F.lit(K.TOKEN_PATTERN), 0)
+def encode_many(df: DataFrame, texts: dict[str, str], vocab: DataFrame, key_cols: Sequence[str],
+                unk_id: int = K.UNK_ID, carry: Sequence[str] = ()) -> DataFrame:
+    """D2 for several text columns at once: ``{out_col: text_col}`` -> ARRAY<INT>.
+
+    The rows are hash-partitioned by ``key_cols`` (the one shuffle, of texts,
+    not tokens); every piece becomes a row tagged with its column and
+    position; a broadcast hash join (checked size) looks the pieces up in
+    O(1); the regroup by ``key_cols`` then needs no second shuffle because
+    the data is already clustered by that key. ``key_cols`` must identify a row.
+    """
+    outs = list(texts)
+
+    def tag(w: int):
+        return lambda t, i: F.struct(F.lit(w).alias("w"), i.alias("p"), t.alias("_tok"))
+
+    tagged = F.concat(*[F.transform(_pieces(texts[o]), tag(w)) for w, o in enumerate(outs)])
+    keyed = df.repartition(*key_cols)
+    rows = keyed.select(*key_cols, *carry, F.explode_outer(tagged).alias("_e")).select(
+        *key_cols, *carry, F.col("_e.w").alias("_w"), F.col("_e.p").alias("_p"),
+        F.col("_e._tok").alias("_tok"))
+    looked = rows.join(_vocab_side(vocab), "_tok", "left")
+    ident = F.coalesce(F.col("_tid"), F.lit(unk_id))
+    aggs = [F.array_sort(F.collect_list(F.when(F.col("_w") == w, F.struct(F.col("_p"), ident.alias("i")))))
+            .alias(f"_s{w}") for w in range(len(outs))]
+    grouped = looked.groupBy(*key_cols).agg(*aggs, *[F.first(c).alias(c) for c in carry])
+    for w, o in enumerate(outs):
+        grouped = grouped.withColumn(o, F.transform(F.col(f"_s{w}"), lambda s: s["i"]))
+    return grouped.drop(*[f"_s{w}" for w in range(len(outs))])
 
 
 def encode_tokens(df: DataFrame, text_col: str, vocab: DataFrame, key_cols: Sequence[str],
                   out: str = "input_ids", unk_id: int = K.UNK_ID,
                   carry: Sequence[str] = ()) -> DataFrame:
-    """Text -> ARRAY<INT> of token ids (unknown -> ``unk_id``).
-
-    Default path (vocabulary of at most ``VOCAB_BROADCAST_LIMIT`` entries,
-    checked): the vocabulary is folded into a single MAP row, broadcast, and
-    each text's pieces are looked up in place with ``transform`` -- narrow,
-    no token rows are ever shuffled. Beyond the limit: posexplode -> equi-join
-    with the vocabulary -> ordered regroup by the row key (one shuffle).
-    ``key_cols`` must identify a row; ``carry`` columns ride along.
-    """
-    pieces = F.regexp_extract_all(col_of(text_col), F.lit(K.TOKEN_PATTERN), 0)
-    attached = attach_vocabulary(df, vocab)
-    if attached is not None:
-        return attached.select(*key_cols, *carry, lookup_ids(pieces, unk_id).alias(out))
-    exploded = df.select(*key_cols, *carry, F.posexplode_outer(pieces).alias("_tpos", "_tok"))
-    v = vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_tid"))
-    joined = exploded.join(v, "_tok", "left")
-    item = F.when(F.col("_tok").isNotNull(),
-                  F.struct(F.col("_tpos"), F.coalesce(F.col("_tid"), F.lit(unk_id)).alias("i")))
-    grouped = joined.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(item)).alias("_s"),
-        *[F.first(c).alias(c) for c in carry])
-    return grouped.withColumn(out, F.transform(F.col("_s"), lambda s: s["i"])).drop("_s")
+    """Text -> ARRAY<INT> of token ids (unknown -> ``unk_id``); see
+    :func:`encode_many` for the plan."""
+    return encode_many(df, {out: text_col}, vocab, key_cols, unk_id, carry)
 
 
 def truncate_append_eos(ids: Column | str, cutoff: int, eos_id: int = K.EOS_ID) -> Column:
@@ -117,16 +116,8 @@ def tokenize_examples(samples: DataFrame, vocab: DataFrame, key_cols: Sequence[s
                       eos_id: int = K.EOS_ID, unk_id: int = K.UNK_ID) -> DataFrame:
     """D2-D5 together: ``full_prompt`` and ``user_prompt`` columns in, model
     inputs out (input_ids, attention_mask, labels, prompt_len)."""
-    attached = attach_vocabulary(samples, vocab)
-    if attached is not None:
-        # Both prompts encoded in one narrow projection: no shuffle at all.
-        both = attached.withColumn("_full", lookup_ids(_pieces("full_prompt"), unk_id)) \
-                       .withColumn("_user", lookup_ids(_pieces("user_prompt"), unk_id)) \
-                       .drop("_vmap")
-    else:
-        full = encode_tokens(samples, "full_prompt", vocab, key_cols, out="_full", unk_id=unk_id)
-        user = encode_tokens(samples, "user_prompt", vocab, key_cols, out="_user", unk_id=unk_id)
-        both = full.join(user, list(key_cols))
+    both = encode_many(samples, {"_full": "full_prompt", "_user": "user_prompt"}, vocab,
+                       key_cols, unk_id)
     ids = truncate_append_eos("_full", cutoff, eos_id)
     prompt_len = F.least(F.size("_user"), F.lit(cutoff))
     return (both.withColumn("input_ids", ids)
@@ -144,17 +135,17 @@ def holdout_split(df: DataFrame, val_size: int, seed: int, key_cols: Sequence[st
     ``val_size`` go to validation: exact size, stable under repartitioning.
     No split when ``val_size <= 0`` or ``val_size >= n`` (everything is train).
     """
+    if val_size <= 0:
+        return df.withColumn("split", F.lit("train"))
     keys = [F.col(c).cast("string") for c in key_cols]
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), *keys), 256)
-    hashed = df.withColumn("_h", h)
-    if val_size <= 0:
-        return hashed.drop("_h").withColumn("split", F.lit("train"))
-    n = df.count()
-    if val_size >= n:
-        return hashed.drop("_h").withColumn("split", F.lit("train"))
-    ranked = dense_position(hashed, ["_h", *key_cols], out="_hp")
-    return ranked.withColumn(
-        "split", F.when(F.col("_hp") < val_size, "validation").otherwise("train")).drop("_h", "_hp")
+    # dense_position materialises its input once; the size rule then counts
+    # that materialised table instead of recomputing the input.
+    ranked = dense_position(df.withColumn("_h", h), ["_h", *key_cols], out="_hp")
+    n = ranked.count()
+    split = (F.when((F.col("_hp") < val_size) & F.lit(val_size < n), "validation")
+              .otherwise("train"))
+    return ranked.withColumn("split", split).drop("_h", "_hp")
 
 
 def pad_batches(df: DataFrame, batch_size: int, order_cols: Sequence[str],

@@ -110,7 +110,7 @@ def test_encode_join_fallback_matches_broadcast(spark, vocab, monkeypatch):
     df = spark.createDataFrame([(1, "Answer true or false. Q2"), (2, "the request is"), (3, "")],
                                "k int, text string")
     fast = {r.k: list(r.ids) for r in D.encode_tokens(df, "text", vocab, ["k"], out="ids").collect()}
-    monkeypatch.setattr(D, "VOCAB_BROADCAST_LIMIT", 3)  # vocabulary now "too big" to broadcast
+    monkeypatch.setattr(D, "VOCAB_BROADCAST_LIMIT", 3)  # vocabulary now "too big": shuffle join
     slow = {r.k: list(r.ids) for r in D.encode_tokens(df, "text", vocab, ["k"], out="ids").collect()}
     assert fast == slow
     both = spark.createDataFrame([(1, "Answer true Q1", "Answer true")],
