@@ -37,23 +37,32 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataF
     return F.broadcast(df) if n <= max_rows else df
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str,
+                max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """A driver-side literal table (presets, vocabularies of labels), hinted
+    for broadcast. Its size is known here, so the check costs no job."""
+    if len(rows) > max_rows:
+        raise ValueError(f"literal table of {len(rows)} rows is too large to broadcast")
+    return F.broadcast(spark.createDataFrame(list(rows), schema))
+
+
 def task_dim(spark: SparkSession, tasks: Sequence[str] = K.TASKS,
              labels: dict[str, str] = K.TASK_LABELS) -> DataFrame:
     """(task, task_label, task_ord) in semantic order."""
     rows = [(t, labels.get(t, t), i) for i, t in enumerate(tasks)]
-    return spark.createDataFrame(rows, "task string, task_label string, task_ord int")
+    return small_table(spark, rows, "task string, task_label string, task_ord int")
 
 
 def scope_dim(spark: SparkSession, scopes: Sequence[str] = K.SCOPES,
               labels: dict[str, str] = K.SCOPE_LABELS) -> DataFrame:
     rows = [(s, labels[s], i) for i, s in enumerate(scopes)]
-    return spark.createDataFrame(rows, "scope string, scope_label string, scope_ord int")
+    return small_table(spark, rows, "scope string, scope_label string, scope_ord int")
 
 
 def method_dim(spark: SparkSession, methods: Sequence[str] = K.METHODS,
                labels: dict[str, str] = K.METHOD_LABELS) -> DataFrame:
     rows = [(m, labels[m], i) for i, m in enumerate(methods)]
-    return spark.createDataFrame(rows, "method string, method_label string, method_ord int")
+    return small_table(spark, rows, "method string, method_label string, method_ord int")
 
 
 def map_literal(mapping: dict, key: Column) -> Column:

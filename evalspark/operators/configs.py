@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark import constants as K
-from evalspark.operators.common import require, sized_broadcast
+from evalspark.operators.common import require, small_table
 
 
 def experiment_presets(spark: SparkSession,
@@ -20,7 +20,7 @@ def experiment_presets(spark: SparkSession,
                      p["max_train_samples"], p["num_epochs"], p["val_set_size"], p["save_steps"],
                      p["eval_steps"], p["weight_decay"], p["train_on_inputs"], p["seed"],
                      p["max_new_tokens"]))
-    return spark.createDataFrame(rows, (
+    return small_table(spark, rows, (
         "experiment string, task_names array<string>, exp_rank int, exp_alpha int, "
         "exp_dropout double, max_train_samples int, num_epochs int, val_set_size int, "
         "save_steps int, eval_steps int, weight_decay double, train_on_inputs boolean, "
@@ -35,7 +35,7 @@ def method_overrides(spark: SparkSession,
         for method, o in dict(p.get("method_overrides", {})).items():
             rows.append((name, method, o.get("learning_rate"), o.get("rank"), o.get("alpha"),
                          o.get("dropout")))
-    return spark.createDataFrame(rows, (
+    return small_table(spark, rows, (
         "experiment string, method string, ovr_learning_rate double, ovr_rank int, "
         "ovr_alpha int, ovr_dropout double"))
 
@@ -44,7 +44,7 @@ def model_presets(spark: SparkSession,
                   presets: Mapping[str, Mapping[str, object]] = K.MODEL_PRESETS) -> DataFrame:
     rows = [(n, p["model_id"], p["learning_rate"], p.get("cutoff_len", 256),
              p.get("trust_remote_code", False)) for n, p in presets.items()]
-    return spark.createDataFrame(rows, (
+    return small_table(spark, rows, (
         "model string, model_id string, model_learning_rate double, cutoff_len int, "
         "trust_remote_code boolean"))
 
@@ -53,7 +53,7 @@ def runtime_presets(spark: SparkSession,
                     presets: Mapping[str, Mapping[str, object]] = K.RUNTIME_PRESETS) -> DataFrame:
     rows = [(n, p["per_device_batch_size"], p["effective_batch_size"],
              p["gradient_checkpointing"], p.get("use_4bit", False)) for n, p in presets.items()]
-    return spark.createDataFrame(rows, (
+    return small_table(spark, rows, (
         "runtime string, per_device_batch_size int, effective_batch_size int, "
         "gradient_checkpointing boolean, use_4bit boolean"))
 
@@ -71,10 +71,10 @@ def overlay_presets(requests: DataFrame) -> DataFrame:
     req = requests if "rank" in requests.columns else requests.withColumn(
         "rank", F.lit(None).cast("int"))
     req = req.withColumnRenamed("rank", "req_rank")
-    j = (req.join(sized_broadcast(experiment_presets(spark)), "experiment", "left")
-            .join(sized_broadcast(method_overrides(spark)), ["experiment", "method"], "left")
-            .join(sized_broadcast(model_presets(spark)), "model", "left")
-            .join(sized_broadcast(runtime_presets(spark)), "runtime", "left"))
+    j = (req.join(experiment_presets(spark), "experiment", "left")
+            .join(method_overrides(spark), ["experiment", "method"], "left")
+            .join(model_presets(spark), "model", "left")
+            .join(runtime_presets(spark), "runtime", "left"))
     d = K.SPEC_DEFAULTS
     missing = (F.when(F.col("task_names").isNull(), F.lit("experiment"))
                 .when(F.col("model_id").isNull(), F.lit("model"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evalspark import constants as K
 from evalspark.functions.text import as_text, label_to_index
-from evalspark.operators.common import first_n, sized_broadcast
+from evalspark.operators.common import first_n, require, small_table
 
 SAMPLE_COLUMNS = ("id", "task", "instruction", "choices", "label", "pos")
 
@@ -80,10 +80,9 @@ def normalize_social(df: DataFrame, pos_col: str = "pos") -> DataFrame:
 
 def normalize_hellaswag(df: DataFrame, pos_col: str = "pos") -> DataFrame:
     """B4. Text shows endings 1-4, choices keeps all; fewer than 4 is an error."""
+    df = require(df, F.size("endings") >= 4, "hellaswag row has fewer than 4 endings")
     endings = F.transform(F.col("endings"), lambda e: as_text(e))
-    checked = F.when(
-        F.size(endings) >= 4, endings
-    ).otherwise(F.raise_error(F.lit("hellaswag row has fewer than 4 endings")).cast("array<string>"))
+    checked = endings
     label = F.concat(F.lit("ending"), (F.col("label").cast("int") + 1).cast("string"))
     instruction = F.concat(
         F.lit(K.HELLASWAG_HEAD + "Context: "), as_text("ctx"),
@@ -189,10 +188,9 @@ def benchmark_catalog(spark: SparkSession,
                       ) -> DataFrame:
     """Task -> (dataset, subset, split) dimension table."""
     rows = [(t, d, s, sp) for t, (d, s, sp) in catalog.items()]
-    return spark.createDataFrame(rows, "task string, dataset string, subset string, split string")
+    return small_table(spark, rows, "task string, dataset string, subset string, split string")
 
 
 def attach_catalog(samples: DataFrame) -> DataFrame:
-    """Join samples to the (tiny, checked) catalog; unknown tasks get nulls."""
-    cat = sized_broadcast(benchmark_catalog(samples.sparkSession))
-    return samples.join(cat, "task", "left")
+    """Join samples to the (tiny, broadcast) catalog; unknown tasks get nulls."""
+    return samples.join(benchmark_catalog(samples.sparkSession), "task", "left")

@@ -249,7 +249,8 @@ def _write_tables_sql() -> str:
 @query("write_tables", _write_tables_sql())
 def q_write_tables(spark, sf):
     from evalspark.operators import compare
-    a = P.analysis(spark, sf, cache=False)
+    # Five tables share the run rows and gains: compute those once.
+    a = P.analysis(spark, sf, cache=True)
     comp = compare.reference_comparison(a.runs)
     tables = {
         "summary_table": (a.runs, _TABLE_HEADERS["summary_table"]),
@@ -269,6 +270,8 @@ def q_write_tables(spark, sf):
         one = back.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(name).alias("table_name"), "n_rows", F.lit(",".join(back.columns)).alias("header"))
         out = one if out is None else out.unionByName(one)
+    a.runs.unpersist()
+    a.gains.unpersist()
     return out
 
 
