@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from evalspark import constants as K
 from evalspark.functions.vectors import add, combine, dot, l2_norm, matvec, scale
-from evalspark.operators.common import require, sized_broadcast
+from evalspark.operators.common import byte_sized_broadcast, require
 
 NORM_FLOOR = 1e-12
 SUPPORTED_TYPES = ("Linear", "Linear4bit")
@@ -113,8 +113,8 @@ def _a_by_module(a_rows: DataFrame) -> DataFrame:
     """A as one row per module: ARRAY<ARRAY<DOUBLE>> ordered by k (rank rows)."""
     grouped = a_rows.groupBy("module").agg(
         F.array_sort(F.collect_list(F.struct("k", "a"))).alias("_s"))
-    return sized_broadcast(grouped.select(
-        "module", F.transform("_s", lambda s: s["a"]).alias("_A")), max_rows=100_000)
+    return byte_sized_broadcast(grouped.select(
+        "module", F.transform("_s", lambda s: s["a"]).alias("_A")), ["_A"])
 
 
 def lowrank_delta(weights: DataFrame, a_rows: DataFrame, alpha: float, rank: int,
@@ -152,7 +152,7 @@ def project_lora(x: DataFrame, weights: DataFrame, a_rows: DataFrame, alpha: flo
     """H9: ``y_i = w_i·x + bias_i + s * b_i·(A x)`` per (input, output row)
     (dropout off). The input batch is the broadcast side."""
     s = float(alpha) / float(rank)
-    xa = sized_broadcast(_with_ax(x, a_rows), max_rows=100_000)
+    xa = byte_sized_broadcast(_with_ax(x, a_rows), ["x", "_ax"])
     bias = F.col("bias") if "bias" in weights.columns else F.lit(0.0)
     joined = weights.join(xa, "module")
     y = dot("w", "x") + bias + F.lit(s) * dot("b", "_ax")
@@ -167,7 +167,7 @@ def project_dora(x: DataFrame, weights: DataFrame, a_rows: DataFrame, alpha: flo
     with_delta = lowrank_delta(weights, a_rows, alpha, rank)
     g = F.col(m_col) / F.greatest(l2_norm(add("w", "delta")), F.lit(NORM_FLOOR))
     rows = with_delta.withColumn("_g", g).drop("delta")
-    xa = sized_broadcast(_with_ax(x, a_rows), max_rows=100_000)
+    xa = byte_sized_broadcast(_with_ax(x, a_rows), ["x", "_ax"])
     bias = F.col("bias") if "bias" in weights.columns else F.lit(0.0)
     joined = rows.join(xa, "module")
     base = dot("w", "x") + bias
@@ -177,7 +177,7 @@ def project_dora(x: DataFrame, weights: DataFrame, a_rows: DataFrame, alpha: flo
 
 def project_rows(x: DataFrame, rows: DataFrame, row_col: str = "merged") -> DataFrame:
     """Plain ``row·x + bias`` with already merged rows (the H8/H7 fast path)."""
-    xb = sized_broadcast(x, max_rows=100_000)
+    xb = byte_sized_broadcast(x, ["x"])
     bias = F.col("bias") if "bias" in rows.columns else F.lit(0.0)
     return rows.join(xb, "module").select("module", "x_id", "row_idx",
                                           (dot(row_col, "x") + bias).alias("y"))

@@ -137,3 +137,16 @@ def test_manifest_and_reconcile(spark):
     assert H.reconcile_names(lora, lora).count() == 0
     with pytest.raises(JOB_ERRORS):
         H.require_reconciled(H.reconcile_names(dora, lora)).collect()
+
+
+def test_projection_without_broadcast_matches(spark, monkeypatch):
+    from evalspark.operators import common
+    w, a, x = _tables(spark)
+    small = _y(H.project_lora(x, w, a, 6, 2))
+    monkeypatch.setattr(common, "BROADCAST_BYTE_LIMIT", 8)  # every vector side is "too big"
+    df = H.project_lora(x, w, a, 6, 2)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    big = _y(df)
+    for key, v in small.items():
+        assert big[key] == pytest.approx(v, abs=1e-12)
