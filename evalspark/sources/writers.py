@@ -18,9 +18,21 @@ def _sorted_select(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)])
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """One object per line, keys in sorted order, nulls kept."""
-    _sorted_select(df).write.mode(mode).option("ignoreNullFields", False).json(path)
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite",
+                partition_col: str | None = None) -> str:
+    """One object per line, keys in sorted order, nulls kept.
+
+    ``partition_col`` writes one folder per value (e.g. one per task) while
+    every record keeps that key, as the per-task files upstream do.
+    """
+    out = _sorted_select(df)
+    writer = None
+    if partition_col is not None:
+        out = out.withColumn("_part", F.col(partition_col))
+        writer = out.write.mode(mode).partitionBy("_part")
+    else:
+        writer = out.write.mode(mode)
+    writer.option("ignoreNullFields", False).json(path)
     return path
 
 
