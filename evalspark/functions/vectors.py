@@ -38,9 +38,6 @@ def scale(a: Column | str, s: Column | float) -> Column:
     return F.zip_with(arr, F.array_repeat(s, F.size(arr)), lambda x, g: x * g)
 
 
-def as_double_array(a: Column | str) -> Column:
-    return F.transform(col_of(a), lambda x: x.cast("double"))
-
 
 def combine(rows: Column | str, coeffs: Column | str) -> Column:
     """Linear combination sum_k coeffs[k] * rows[k] of an array of vectors.

@@ -17,9 +17,6 @@ from evalspark import constants as K
 from evalspark.functions.text import as_text, label_to_index
 from evalspark.operators.common import first_n, require, small_table
 
-SAMPLE_COLUMNS = ("id", "task", "instruction", "choices", "label", "pos")
-
-
 def _id_or(df: DataFrame, id_col: str, fallback: Column) -> Column:
     """``id`` when the column exists and is non-null, else the fallback text."""
     if id_col in df.columns:

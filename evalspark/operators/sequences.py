@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evalspark import constants as K
 from evalspark.functions.text import col_of
-from evalspark.operators.common import dense_position, first_n
+from evalspark.operators.common import dense_position, first_n, sized_broadcast
 
 
 def cap_samples(df: DataFrame, n: int | None, order_cols: Sequence[str] = ("pos",)) -> DataFrame:
@@ -46,8 +46,7 @@ def _pieces(c: Column | str) -> Column:
 
 def _vocab_side(vocab: DataFrame) -> DataFrame:
     side = vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_tid"))
-    small = vocab.limit(VOCAB_BROADCAST_LIMIT + 1).count() <= VOCAB_BROADCAST_LIMIT
-    return F.broadcast(side) if small else side
+    return sized_broadcast(side, VOCAB_BROADCAST_LIMIT)
 
 
 def encode_many(df: DataFrame, texts: dict[str, str], vocab: DataFrame, key_cols: Sequence[str],

@@ -8,10 +8,9 @@ from evalspark import constants as K
 from evalspark.operators import compare
 from evalspark.plans import pipelines as P
 from evalspark.plans.registry import query, rounded
-from evalspark.plans.sql import ANALYSIS, METHOD_DIM, PREDICTIONS, SCOPE_DIM, SWEEP, TASK_DIM, _values
+from evalspark.plans.sql import ANALYSIS, METHOD_DIM, SCOPE_DIM, SWEEP, TASK_DIM, _values
 
 TASK_COLS_SQL = ", ".join(f'"{t}"' for t in K.TASKS)
-R6 = lambda c: f"round({c}, 6) as {c}"
 
 LABELED = ANALYSIS + f""", labeled as (
   select r.*, m.method_label, s.scope_label, m.method_label || ' - ' || s.scope_label as condition

@@ -233,7 +233,6 @@ _TABLE_HEADERS = {
 
 
 def _write_tables_sql() -> str:
-    from evalspark.plans.q_compare import COMPARISON_SQL  # noqa: F401
     from evalspark.plans.sql import ANALYSIS
     parts = [
         ("summary_table", "select count(*) from runs"),
