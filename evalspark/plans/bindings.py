@@ -230,29 +230,40 @@ ADAPTER_ALPHA = 4.0
 DORA_MAGNITUDE = 1.5
 
 
+def _module(label_col) -> Column:
+    return F.concat(F.lit("layer"), label_col.cast("string"))
+
+
 def weight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W rows from embeddings (as double), B row ``b_k = ((vec_id+k) % 5 - 2)/10``,
-    bias ``label/10`` and magnitude 1.5; one module."""
+    """W rows from embeddings (as double), one module per label (``layer<label>``),
+    B row ``b_k = ((vec_id+k) % 5 - 2)/10``, bias ``label/10`` and magnitude 1.5."""
     e = table(spark, sf_dir, "embeddings")
     b = F.array(*[((F.col("vec_id") + k) % 5 - 2) / 10.0 for k in range(ADAPTER_RANK)])
     return e.select(
-        F.lit("proj").alias("module"), F.col("vec_id").alias("row_idx"),
+        _module(F.col("label")).alias("module"), F.col("vec_id").alias("row_idx"),
         F.transform("embedding", lambda x: x.cast("double")).alias("w"),
         b.alias("b"), (F.col("label") / 10.0).alias("bias"),
         F.lit(DORA_MAGNITUDE).alias("m"))
 
 
 def a_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A: the ``rank`` lowest-id embedding rows (top-k, bounded by the rank)."""
-    e = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(ADAPTER_RANK)
-    return e.select(F.lit("proj").alias("module"), F.col("vec_id").cast("int").alias("k"),
-                    F.transform("embedding", lambda x: x.cast("double")).alias("a"))
-
-
-def input_batch(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
-    """A batch of input vectors, one per region: ``x_j = ((key*7 + j) % 11 - 5)/10``."""
-    r = table(spark, sf_dir, "region")
-    x = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                    lambda j: ((F.col("r_regionkey") * 7 + j) % 11 - 5) / 10.0)
-    return r.select(F.lit("proj").alias("module"), F.col("r_regionkey").cast("long").alias("x_id"),
+    """A per module: its ``rank`` lowest-id embedding rows (a per-module top-k,
+    planned as a partial group limit)."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "embeddings")
+    w = Window.partitionBy("label").orderBy("vec_id")
+    top = e.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= ADAPTER_RANK)
+    return top.select(_module(F.col("label")).alias("module"), (F.col("_rn") - 1).cast("int").alias("k"),
+                      F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+
+
+def input_batch(spark: SparkSession, sf_dir: str, width: int = 64, modules: int = 10
+                ) -> DataFrame:
+    """Input vectors, one per nation, fed to module ``layer<key % modules>``:
+    ``x_j = ((key*7 + j) % 11 - 5)/10``."""
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    x = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: ((key * 7 + j) % 11 - 5) / 10.0)
+    return n.select(_module(key % modules).alias("module"), key.cast("long").alias("x_id"),
                     x.alias("x"))

@@ -76,27 +76,33 @@ def q_reconcile_names(spark, sf):
 
 S = B.ADAPTER_ALPHA / B.ADAPTER_RANK
 
-VEC_SQL = f"""arows as (select vec_id, embedding from embeddings order by vec_id limit {B.ADAPTER_RANK}),
-A as (select k, unnest(embedding)::double as a, generate_subscripts(embedding, 1) - 1 as j
-      from (select row_number() over (order by vec_id) - 1 as k, embedding from arows) z),
-W as (select vec_id as row_idx, unnest(embedding)::double as w, generate_subscripts(embedding, 1) - 1 as j
+VEC_SQL = f"""arows as (
+  select label as module, row_number() over (partition by label order by vec_id) - 1 as k, embedding
+  from embeddings qualify k < {B.ADAPTER_RANK}),
+A as (select module, k, unnest(embedding)::double as a, generate_subscripts(embedding, 1) - 1 as j
+      from arows),
+W as (select vec_id as row_idx, label as module, unnest(embedding)::double as w,
+             generate_subscripts(embedding, 1) - 1 as j
       from embeddings),
-Bc as (select vec_id as row_idx, k, cast((vec_id + k) % 5 - 2 as double) / 10 as b,
-              cast(label as double) / 10 as bias
+Bc as (select vec_id as row_idx, label as module, k, cast((vec_id + k) % 5 - 2 as double) / 10 as b
        from embeddings, (select unnest(range({B.ADAPTER_RANK})) as k) kk),
 bias as (select vec_id as row_idx, cast(label as double) / 10 as bias from embeddings),
-delta as (select b.row_idx, a.j, sum(b.b * a.a) * {S} as d from Bc b join A a on b.k = a.k
-          group by b.row_idx, a.j),
+delta as (select b.row_idx, a.j, sum(b.b * a.a) * {S} as d from Bc b join A a
+          on b.module = a.module and b.k = a.k group by b.row_idx, a.j),
 merged as (select w.row_idx, w.j, w.w, w.w + d.d as md from W w join delta d
            on w.row_idx = d.row_idx and w.j = d.j),
 mnorm as (select row_idx, sqrt(sum(md * md)) as nrm from merged group by row_idx),
-X as (select cast(r_regionkey as bigint) as x_id, j, cast(((r_regionkey * 7 + j) % 11 - 5) as double) / 10 as x
-      from region, (select unnest(range(64)) as j) jj),
-ax as (select x.x_id, a.k, sum(a.a * x.x) as ax from A a join X x on a.j = x.j group by x.x_id, a.k),
-wx as (select x.x_id, w.row_idx, sum(w.w * x.x) as wx from W w join X x on w.j = x.j
-       group by x.x_id, w.row_idx),
-bax as (select ax.x_id, b.row_idx, sum(b.b * ax.ax) as bax from Bc b join ax on b.k = ax.k
-        group by ax.x_id, b.row_idx)"""
+X as (select cast(n_nationkey as bigint) as x_id, n_nationkey % 10 as module, j,
+             cast(((n_nationkey * 7 + j) % 11 - 5) as double) / 10 as x
+      from nation, (select unnest(range(64)) as j) jj),
+XM as (select distinct x_id, module from X),
+ax as (select x.x_id, a.k, sum(a.a * x.x) as ax from A a join X x on a.module = x.module and a.j = x.j
+       group by x.x_id, a.k),
+wx as (select x.x_id, w.row_idx, sum(w.w * x.x) as wx from W w join X x
+       on w.module = x.module and w.j = x.j group by x.x_id, w.row_idx),
+bax as (select xm.x_id, b.row_idx, sum(b.b * ax.ax) as bax
+        from Bc b join XM xm on b.module = xm.module join ax on ax.x_id = xm.x_id and ax.k = b.k
+        group by xm.x_id, b.row_idx)"""
 
 
 def _long(df, arr: str):
