@@ -14,6 +14,11 @@ from evalspark.plans.sql import PREDICTIONS
 EXPERIMENT = "paper_llama2_7b"
 MODEL = "llama2_7b"
 RUNTIME = "colab_a100_40gb_llama"
+# Scope runs use another experiment and model than sweep runs, and the
+# runtime follows the method, so the preset joins key on real columns.
+SCOPE_EXPERIMENT = "paper_colab"
+SCOPE_MODEL = "llama3_8b"
+DORA_RUNTIME = "colab_l4_llama"
 
 
 def run_requests(spark, sf):
@@ -21,10 +26,12 @@ def run_requests(spark, sf):
     p = B.predictions(spark, sf).select("method", "scope").distinct().withColumn(
         "rank", F.lit(None).cast("int"))
     s = B.rank_sweep_predictions(spark, sf).select("method", "scope", "rank").distinct()
+    swept = F.col("rank").isNotNull()
     return (p.unionByName(s)
-             .withColumn("experiment", F.lit(EXPERIMENT))
-             .withColumn("model", F.lit(MODEL))
-             .withColumn("runtime", F.lit(RUNTIME)))
+             .withColumn("experiment", F.when(swept, EXPERIMENT).otherwise(SCOPE_EXPERIMENT))
+             .withColumn("model", F.when(swept, MODEL).otherwise(SCOPE_MODEL))
+             .withColumn("runtime", F.when(F.col("method") == "lora", RUNTIME)
+                         .otherwise(DORA_RUNTIME)))
 
 
 def _sql_lit(v):
@@ -67,7 +74,10 @@ _RT = _vals([(n, p["per_device_batch_size"], p["effective_batch_size"], p["gradi
 
 SPEC_SQL = f"""with {PREDICTIONS},
 req as (
-  select *, '{EXPERIMENT}' as experiment, '{MODEL}' as model, '{RUNTIME}' as runtime from (
+  select *,
+    case when requested_rank is null then '{SCOPE_EXPERIMENT}' else '{EXPERIMENT}' end as experiment,
+    case when requested_rank is null then '{SCOPE_MODEL}' else '{MODEL}' end as model,
+    case when method = 'lora' then '{RUNTIME}' else '{DORA_RUNTIME}' end as runtime from (
     select distinct method, scope, cast(null as int) as requested_rank from predictions
     union all
     select distinct case when id % 7 <= 3 then 'lora' else 'dora' end, 'full',

@@ -85,3 +85,13 @@ def test_projection_never_shuffles_weight_rows(spark, sf_small):
     assert shuffles_outside_broadcasts(plan) == 0
     assert "SortMergeJoin" not in plan and "NestedLoopJoin" not in plan
     assert "BroadcastHashJoin" in plan
+
+
+def test_no_registered_query_uses_a_nested_loop_join(spark):
+    import __spark_entry__ as E
+    bad = []
+    for name, fn in sorted(E.queries().items()):
+        plan = plan_of(fn(spark, "/root/testdata/sf0.01"))
+        if "NestedLoopJoin" in plan or "CartesianProduct" in plan:
+            bad.append(name)
+    assert bad == []

@@ -25,7 +25,8 @@ COUNTERS = {
     "range shuffles": r"Exchange rangepartitioning",
     "single-partition shuffles": r"Exchange SinglePartition",
     "broadcasts": r"BroadcastExchange",
-    "broadcast joins": r"BroadcastHashJoin|BroadcastNestedLoopJoin",
+    "broadcast joins": r"BroadcastHashJoin",
+    "nested-loop joins": r"NestedLoopJoin|CartesianProduct",
     "shuffle joins": r"SortMergeJoin|ShuffledHashJoin",
     "partial group limits": r"WindowGroupLimit|TakeOrderedAndProject",
     "python": r"MapInPandas|ArrowEvalPython|BatchEvalPython|MapInArrow",
