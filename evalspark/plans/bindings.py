@@ -24,7 +24,7 @@ _SCANS: dict[tuple[int, str], DataFrame] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
+    key = (id(getattr(spark, "_jsparkSession", spark)), path)
     df = _SCANS.get(key)
     if df is None:
         df = _SCANS.setdefault(key, spark.read.parquet(path))

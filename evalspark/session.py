@@ -44,7 +44,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     On a cluster this is set by whoever runs the job and points at shared
     storage. Only when it is unset (local tests) do we create one.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no SparkContext
+        return _connect_checkpoint_root(spark)
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         if sc.getCheckpointDir() is None:
@@ -59,6 +62,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return local
 
 
+def _connect_checkpoint_root(spark: SparkSession) -> str:
+    """Checkpoint root for a Spark Connect session, read from its config."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    local = tempfile.mkdtemp(prefix="evalspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark.conf.set("spark.checkpoint.dir", local)
+    return local
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/evalspark/{name}-{uuid.uuid4().hex[:12]}"
