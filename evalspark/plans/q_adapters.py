@@ -118,7 +118,7 @@ def q_row_magnitude(spark, sf):
     return rounded(H.row_magnitude(w).select(F.col("row_idx").cast("bigint"), "magnitude"))
 
 
-@query("lowrank_delta", f"with {VEC_SQL} select row_idx, cast(j as bigint) as j, round(d, 6) as value "
+@query("lowrank_delta", f"with {VEC_SQL} select row_idx, cast(j as bigint) as j, (round(d, 6) + 0.0) as value "
        "from delta")
 def q_lowrank_delta(spark, sf):
     d = H.lowrank_delta(B.weight_rows(spark, sf), B.a_rows(spark, sf), B.ADAPTER_ALPHA,
@@ -126,7 +126,7 @@ def q_lowrank_delta(spark, sf):
     return rounded(_long(d, "delta"))
 
 
-@query("merge_lora", f"with {VEC_SQL} select row_idx, cast(j as bigint) as j, round(md, 6) as value "
+@query("merge_lora", f"with {VEC_SQL} select row_idx, cast(j as bigint) as j, (round(md, 6) + 0.0) as value "
        "from merged")
 def q_merge_lora(spark, sf):
     m = H.merge_lora(B.weight_rows(spark, sf), B.a_rows(spark, sf), B.ADAPTER_ALPHA, B.ADAPTER_RANK)
@@ -134,7 +134,7 @@ def q_merge_lora(spark, sf):
 
 
 @query("merge_dora", f"with {VEC_SQL} select m.row_idx, cast(j as bigint) as j, "
-       f"round(md * ({B.DORA_MAGNITUDE} / greatest(n.nrm, 1e-12)), 6) as value "
+       f"(round(md * ({B.DORA_MAGNITUDE} / greatest(n.nrm, 1e-12)), 6) + 0.0) as value "
        "from merged m join mnorm n on m.row_idx = n.row_idx")
 def q_merge_dora(spark, sf):
     m = H.merge_dora(B.weight_rows(spark, sf), B.a_rows(spark, sf), B.ADAPTER_ALPHA, B.ADAPTER_RANK)
@@ -142,7 +142,7 @@ def q_merge_dora(spark, sf):
 
 
 @query("project_lora", f"with {VEC_SQL} select wx.x_id, wx.row_idx, "
-       f"round(wx.wx + bias.bias + {S} * bax.bax, 6) as y from wx "
+       f"(round(wx.wx + bias.bias + {S} * bax.bax, 6) + 0.0) as y from wx "
        "join bias on wx.row_idx = bias.row_idx "
        "join bax on wx.x_id = bax.x_id and wx.row_idx = bax.row_idx")
 def q_project_lora(spark, sf):
@@ -154,7 +154,7 @@ def q_project_lora(spark, sf):
 @query("project_dora", f"""with {VEC_SQL},
 g as (select row_idx, {B.DORA_MAGNITUDE} / greatest(nrm, 1e-12) as g from mnorm)
 select wx.x_id, wx.row_idx,
-  round((wx.wx + bias.bias) + (g.g - 1) * wx.wx + g.g * {S} * bax.bax, 6) as y
+  (round((wx.wx + bias.bias) + (g.g - 1) * wx.wx + g.g * {S} * bax.bax, 6) + 0.0) as y
 from wx join bias on wx.row_idx = bias.row_idx join g on wx.row_idx = g.row_idx
 join bax on wx.x_id = bax.x_id and wx.row_idx = bax.row_idx""")
 def q_project_dora(spark, sf):
