@@ -77,14 +77,19 @@ def adapter_parameters(selected: DataFrame, ranks: Sequence[int],
                        trainable.alias("trainable_parameters"))
 
 
-def parameter_manifest(selected: DataFrame, method_col: str = "method") -> DataFrame:
-    """H4: ``module.param`` names per adapted module (dora adds magnitude)."""
+def parameter_manifest(selected: DataFrame, method_col: str = "method",
+                       sort: bool = False) -> DataFrame:
+    """H4: ``module.param`` names per adapted module (dora adds magnitude).
+
+    ``sort`` orders the names (a distributed range sort), as a written
+    manifest lists them; a DataFrame has no order otherwise."""
     params = F.when(F.col(method_col) == "dora",
                     F.array(F.lit("lora_A"), F.lit("lora_B"), F.lit("magnitude"))
                     ).otherwise(F.array(F.lit("lora_A"), F.lit("lora_B")))
     out = selected.withColumn("_p", F.explode(params))
-    return out.withColumn("param_name", F.concat(F.col("module_name"), F.lit("."), F.col("_p"))
-                          ).drop("_p")
+    out = out.withColumn("param_name", F.concat(F.col("module_name"), F.lit("."), F.col("_p"))
+                         ).drop("_p")
+    return out.orderBy("model", "param_name") if sort else out
 
 
 def reconcile_names(expected: DataFrame, loaded: DataFrame,

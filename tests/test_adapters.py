@@ -150,3 +150,10 @@ def test_projection_without_broadcast_matches(spark, monkeypatch):
     big = _y(df)
     for key, v in small.items():
         assert big[key] == pytest.approx(v, abs=1e-12)
+
+
+def test_manifest_sorted_names(spark):
+    sel = H.select_modules(_modules(spark)).filter("scope = 'full'")
+    names = [r.param_name for r in
+             H.parameter_manifest(sel.withColumn("method", F.lit("dora")), sort=True).collect()]
+    assert names == sorted(names) and len(names) == 30
