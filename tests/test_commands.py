@@ -106,3 +106,20 @@ def test_analyze_falls_back_to_results_csv(spark, tmp_dir):
     assert res["gains"].count() == 3
     with pytest.raises(FileNotFoundError):
         C.analyze(spark, os.path.join(tmp_dir, "t2"), metrics_root=os.path.join(tmp_dir, "none"))
+
+
+def test_task_override_changes_the_macro_denominator(spark, flow):
+    root, samples, metrics = flow
+
+    def answer_true_factory():
+        def gen(prompts):
+            return ["true"] * len(prompts)
+        return gen
+
+    row = C.evaluate_run(spark, samples, C.RunConfig("override", "lora", "full"),
+                         answer_true_factory, f"{root}/predictions-o", f"{root}/runs-o",
+                         tasks="BOOLQ, piqa").collect()[0]
+    fields = row.asDict()
+    assert "boolq" in fields and "piqa" in fields and "hellaswag" not in fields
+    assert fields["piqa"] == 0.0  # "true" never matches a piqa label
+    assert row.macro_average == pytest.approx((fields["boolq"] + fields["piqa"]) / 2, abs=1e-12)
