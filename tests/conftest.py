@@ -15,7 +15,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("local[4]", app="evalspark-tests", shuffle_partitions=4)
+    # local[4,2]: four threads, each task may be retried once (failure-injection tests).
+    s = get_session("local[4,2]", app="evalspark-tests", shuffle_partitions=4)
     # Tests own the checkpoint folder (on a cluster it comes from the session).
     if s.sparkContext.getCheckpointDir() is None:
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evalspark-test-ckpt-"))
