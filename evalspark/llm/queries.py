@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import bpe, decontaminate, exact, mixing, token_files, warc
+from evalspark.llm import (
+    bpe,
+    decontaminate,
+    exact,
+    mixing,
+    near_dup,
+    token_files,
+    warc,
+)
 from evalspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +38,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    public_tokenizer("byte_bpe_50k.json"))
 
 
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixture_plan(table(spark, sf_dir, "documents"))
