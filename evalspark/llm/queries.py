@@ -13,6 +13,7 @@ from evalspark.llm import (
     exact,
     mixing,
     near_dup,
+    quality,
     token_files,
     warc,
 )
@@ -70,3 +71,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"),
                             public_tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

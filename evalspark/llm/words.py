@@ -41,8 +41,8 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def _hash_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the words of a few texts run together."""
+def hash_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of a few texts run together."""
     b = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~_BLANK[b]
@@ -52,7 +52,7 @@ def _hash_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(b) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(_BYTE[b] * up[:len(b)], out=sums[1:])
-        return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def _segments(texts: list[bytes]):
@@ -82,16 +82,28 @@ def _segments(texts: list[bytes]):
         yield held
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): the hashes of all words, text after text, and where
-    each text's begin (one more bound than texts). A-Z are lower-cased."""
-    hashes, counts = [np.empty(0, np.uint64)], np.zeros(len(texts) + 1, np.int64)
+def per_word(texts: list[bytes], of_segment) -> tuple[list[np.ndarray], np.ndarray]:
+    """Arrays over the words of all texts, text after text, and where each
+    text's words begin (one more bound than texts). ``of_segment(data)`` gives
+    the starts of a segment's words first, then the arrays."""
+    parts, counts = [of_segment(b"")[1:]], np.zeros(len(texts) + 1, np.int64)
     for group in _segments(texts):
-        places, h = _hash_segment(b"\n".join(t for _, t in group).lower())
+        places, *found = of_segment(b"\n".join(t for _, t in group))
         starts = np.cumsum([0] + [len(t) + 1 for _, t in group])
         np.add.at(counts, [i + 1 for i, _ in group], np.diff(np.searchsorted(places, starts)))
-        hashes.append(h)
-    return np.concatenate(hashes), np.cumsum(counts)
+        parts.append(found)
+    return [np.concatenate(x) for x in zip(*parts)], np.cumsum(counts)
+
+
+def _folded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    starts, _, h = hash_segment(data.lower())
+    return starts, h
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds) of all words; A-Z are lower-cased."""
+    (h,), bounds = per_word(texts, _folded)
+    return h, bounds
 
 
 def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
