@@ -267,3 +267,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return (rows.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
             .select("doc_id", "n_shingles", component.alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         percent: int = 85) -> DataFrame:
+    """The documents, columns unchanged, that stand for their group: those of
+    the smallest id. Rows of equal id are one document and stay together."""
+    kept = (near_duplicates(docs, id_col, text_col, percent).filter("kept")
+            .select(F.col("doc_id").alias("__kept_id")).distinct())
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")

@@ -3,6 +3,8 @@ the Spark code."""
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op3_mix_sources"] = r"""
@@ -114,3 +116,6 @@ c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
 SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
 FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 """
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
