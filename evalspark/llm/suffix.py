@@ -98,7 +98,7 @@ def _anchor_rows(length: int, gram: int):
 
 
 _AROUND_ROW = ("bucket bigint, around bigint, k binary, a bigint, n int, off int, "
-               "single boolean, bytes binary")
+               "single boolean, size bigint, bytes binary")
 
 
 def _around_rows(length: int):
@@ -114,27 +114,35 @@ def _around_rows(length: int):
                 k = pa.array([batch.column("k")[i].as_py()] * len(raw), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [runs.column("bucket").combine_chunks(), runs.column("around").combine_chunks(), k,
-                     *(runs.column(c).combine_chunks() for c in ("a", "n", "off", "single")),
+                     *(runs.column(c).combine_chunks() for c in ("a", "n", "off", "single", "size")),
                      pa.array(raw, pa.binary())],
-                    names=["bucket", "around", "k", "a", "n", "off", "single", "bytes"])
+                    names=["bucket", "around", "k", "a", "n", "off", "single", "size", "bytes"])
     return run
 
 
-def bucket_pointers(data: np.ndarray, length: int) -> np.ndarray:
-    """For each place, where the bucket of its first ``length`` bytes begins in
-    suffix order. Starts from buckets of up to 8 bytes; each pass sorts the
-    places of unsettled buckets on the pointers a depth further on, and the
-    new pointers, twice as deep, serve the next pass."""
+def bucket_pointers(data: np.ndarray, length: int, gram: int = 8) -> np.ndarray:
+    """For each place, where the bucket of its first ``length`` bytes begins.
+    Starts from buckets of ``gram`` bytes, in suffix order up to 8 and by
+    identifier beyond; each pass sorts the places of unsettled buckets on the
+    pointers a depth further on, and the new pointers, twice as deep, serve
+    the next pass. Places with fewer than ``gram`` > 8 bytes behind them
+    share buckets with nobody.
+    """
     size = len(data)
-    depth = min(8, length)
-    gram = np.zeros(size, np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for j in range(depth):
-        gram = gram << np.uint64(8) | padded[j:j + size]
-    order = np.argsort(gram, kind="stable")
+    depth = min(gram, length)
+    keys = np.zeros(size, np.uint64)
+    if depth <= 8:
+        padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        for j in range(depth):
+            keys = keys << np.uint64(8) | padded[j:j + size]
+    else:
+        keys = words.mix(np.arange(size, dtype=np.uint64) + np.uint64(1 << 40))
+        whole = np.arange(max(0, size - depth + 1))
+        keys[whole] = _hash(_sums(data), whole, whole + depth)
+    order = np.argsort(keys)
     pointer = np.empty(size, np.int64)
     fresh = np.ones(size, bool)
-    fresh[1:] = gram[order][1:] != gram[order][:-1]
+    fresh[1:] = keys[order][1:] != keys[order][:-1]
     pointer[order] = np.maximum.accumulate(np.where(fresh, np.arange(size), 0))
     while depth < length:
         step = min(depth, length - depth)
@@ -142,7 +150,7 @@ def bucket_pointers(data: np.ndarray, length: int) -> np.ndarray:
         if not len(active):
             break
         later = np.where(active + step < size, pointer[np.minimum(active + step, size - 1)] + 1, 0)
-        order = np.lexsort((later, pointer[active]))
+        order = np.argsort(pointer[active] * (size + 1) + later)
         old, far = pointer[active][order], later[order]
         place = np.arange(len(old))
         new_old, new = np.ones(len(old), bool), np.ones(len(old), bool)
@@ -169,7 +177,7 @@ def _refine(length: int):
     """Places of a group of buckets whose string occurs twice, as runs."""
     def run(group: pa.Table) -> pa.Table:
         raw = [as_bytes(v) for v in group.column("bytes")]
-        pointer = bucket_pointers(np.frombuffer(b"".join(raw), np.uint8), length)
+        pointer = bucket_pointers(np.frombuffer(b"".join(raw), np.uint8), length, length // 4)
         ends = np.cumsum([len(r) for r in raw])
         starts = ends - [len(r) for r in raw]
         valid = np.zeros(len(pointer) + 1, np.int64)
@@ -199,15 +207,15 @@ def _pieces(length: int):
         for batch in batches:
             rows: list[tuple] = []
             for r in batch.to_pylist():
-                data = np.frombuffer(r["bytes"], np.uint8)
-                sums, low = _sums(data), -r["off"]
-                x = np.arange(r["n"])
+                sums = _sums(np.frombuffer(r["bytes"], np.uint8))
+                low, n = -r["off"], r["n"]
+                x = np.arange(n)
                 ids = _hash(sums, x, x + length).view(np.int64)
-                for m in range(low // PIECE, (low + r["n"] - 1) // PIECE + 1):
-                    a, b = max(m * PIECE - low, 0), min((m + 1) * PIECE - low, r["n"])
-                    core = np.array([(m + 1) * PIECE - 1 - low]), np.array([m * PIECE + length - low])
-                    rows.append((r["bucket"], m, int(_hash(sums, *core).view(np.int64)[0]), r["k"],
-                                 r["a"] + a, r["single"], ids[a:b]))
+                m = np.arange(low // PIECE, (low + n - 1) // PIECE + 1)
+                cores = _hash(sums, (m + 1) * PIECE - 1 - low, m * PIECE + length - low).view(np.int64)
+                a, b = np.maximum(m * PIECE - low, 0), np.minimum((m + 1) * PIECE - low, n)
+                rows += [(r["bucket"], i, core, r["k"], r["a"] + p, r["single"], ids[p:q])
+                         for i, core, p, q in zip(m.tolist(), cores.tolist(), a.tolist(), b.tolist())]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(),
                      pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -250,17 +258,19 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = classes.join(variants, "bucket").select(
         *key, "r.*", (F.col("copies") == 1).alias("single"), "size")
     wanted = several.groupBy("k").agg(F.collect_list(
-        F.struct("bucket", "around", "a", "n", "off", "single")).alias("runs"))
+        F.struct("bucket", "around", "a", "n", "off", "single", "size")).alias("runs"))
     first = source.groupBy("k").agg(F.min("id").alias("id")).join(wanted, "k")
     text = source.withColumnRenamed("k", "tk").withColumnRenamed("id", "tid").join(
         first, (F.col("tk") == F.col("k")) & F.col("tid").eqNullSafe(F.col("id")))
-    around = (text.select("k", "t", "runs").mapInArrow(_around_rows(length), _AROUND_ROW)
-              .dropDuplicates(key))
-    around = written(around.join(variants.select("bucket", "size"), "bucket"), "around")
+    around = written(text.select("k", "t", "runs").mapInArrow(_around_rows(length), _AROUND_ROW)
+                     .dropDuplicates(key), "around")
     cold, hot = around.filter(F.col("size") <= HOT_BYTES), around.filter(F.col("size") > HOT_BYTES)
     total = cold.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).alias("n")).first()["n"]
-    group = F.pmod(F.xxhash64("bucket"), F.lit(-(-total // TASK_BYTES) or 1))
-    refined = (cold.select(group.alias("g"), "k", "a", "single", "bytes").groupBy("g")
+    groups = -(-total // TASK_BYTES) or 1
+    group = F.pmod(F.xxhash64("bucket"), F.lit(groups))
+    # As many partitions as groups: bytes that compress well aren't put together again.
+    refined = (cold.select(group.alias("g"), "k", "a", "single", "bytes")
+               .repartition(groups, "g").groupBy("g")
                .applyInArrow(_refine(length), "k binary, a bigint, n bigint"))
     return settled.unionByName(refined).unionByName(_refine_hot(hot, length))
 
