@@ -124,12 +124,11 @@ def normalize_mc_nested(df: DataFrame, task: str, pos_col: str = "pos") -> DataF
 
 def normalize_mc_flat(df: DataFrame, task: str, pos_col: str = "pos") -> DataFrame:
     """B7. ``question`` string, or ``question_stem`` when question is absent or empty."""
-    stem = as_text("question_stem")
+    # Either column may be missing from the file; a row needs one of them.
+    q = (as_text("question_stem") if "question_stem" in df.columns
+         else F.raise_error(F.lit("row has no question text")).cast("string"))
     if "question" in df.columns:
-        raw = F.col("question").cast("string")
-        q = F.when(raw.isNull() | (raw == ""), stem).otherwise(raw)
-    else:
-        q = stem
+        q = F.coalesce(F.nullif(F.col("question").cast("string"), F.lit("")), q)
     choices = F.transform(F.col("choices.text"), lambda c: as_text(c))
     label = F.concat(F.lit("answer"), label_to_index("answerKey").cast("string"))
     return _sample(df, task, _id_or(df, "id", q), _mc_instruction(q, choices), choices,

@@ -111,3 +111,11 @@ def test_catalog(spark):
     cat = {r.task: (r.dataset, r.subset, r.split) for r in N.benchmark_catalog(spark).collect()}
     assert cat["winogrande"] == ("allenai/winogrande", "winogrande_xl", "validation")
     assert len(cat) == 8
+
+
+def test_flat_rows_without_question_stem(spark):
+    df = spark.createDataFrame(
+        [("1", "Why?", (["a", "b"], ["A", "B"]), "B", 0)],
+        "id string, question string, choices struct<text:array<string>,label:array<string>>, answerKey string, pos int")
+    row = N.normalize_mc_flat(df, "ARC-Easy").first()
+    assert "Why?" in row["instruction"] and row["answer" if "answer" in row else "label"] == "answer2"

@@ -124,3 +124,19 @@ def test_dense_position_skewed_groups(spark):
     flat = dense_position(df, ["grp", "key"], out="p")
     ps = sorted(r.p for r in flat.collect())
     assert ps == list(range(3000))
+
+
+def test_generators_of_one_maker_stay_apart(spark):
+    from functools import partial
+
+    from evalspark.operators.scoring import generate_batches
+
+    def maker(tag):
+        return lambda: lambda prompts: [f"{tag}:{p}" for p in prompts]
+
+    def build(tag):
+        return lambda prompts: [f"{tag}:{p}" for p in prompts]
+
+    df = spark.createDataFrame([("1", "x")], "id string, prompt string")
+    for factory, tag in ((maker("a"), "a"), (maker("b"), "b"), (partial(build, "c"), "c"), (partial(build, "d"), "d")):
+        assert generate_batches(df, factory).first()["generated_text"] == f"{tag}:x"
