@@ -122,13 +122,21 @@ def _a_by_module(a_rows: DataFrame) -> DataFrame:
         "module", F.transform("_s", lambda s: s["a"]).alias("_A")), ["_A"])
 
 
+def _matched(joined: DataFrame, col: str, what: str) -> DataFrame:
+    """Rows of a left join on ``module``; one without a partner fails the job
+    instead of dropping out."""
+    return require(joined, F.col(col).isNotNull(), F.concat(
+        F.lit(f"no {what} for module "),
+        F.coalesce(F.col("module").cast("string"), F.lit("NULL"))))
+
+
 def lowrank_delta(weights: DataFrame, a_rows: DataFrame, alpha: float, rank: int,
                   out: str = "delta") -> DataFrame:
     """H6: row i of ``B·A · alpha/rank``; rank <= 0 is an error."""
     if rank <= 0:
         raise ValueError("adapter rank must be positive")
     s = float(alpha) / float(rank)
-    joined = weights.join(_a_by_module(a_rows), "module")
+    joined = _matched(weights.join(_a_by_module(a_rows), "module", "left"), "_A", "rows of A")
     return joined.withColumn(out, scale(combine("_A", "b"), s)).drop("_A")
 
 
@@ -149,7 +157,8 @@ def merge_dora(weights: DataFrame, a_rows: DataFrame, alpha: float, rank: int,
 
 def _with_ax(x: DataFrame, a_rows: DataFrame) -> DataFrame:
     """A·x once per input vector (rank-sized), before meeting the weight rows."""
-    return x.join(_a_by_module(a_rows), "module").withColumn("_ax", matvec("_A", "x")).drop("_A")
+    joined = _matched(x.join(_a_by_module(a_rows), "module", "left"), "_A", "rows of A")
+    return joined.withColumn("_ax", matvec("_A", "x")).drop("_A")
 
 
 def project_lora(x: DataFrame, weights: DataFrame, a_rows: DataFrame, alpha: float,

@@ -114,10 +114,9 @@ def run_matrix(requests: DataFrame, scopes: Sequence[str] = K.SCOPES, stamp: str
 def validate_spec(specs: DataFrame, tasks: Sequence[str] = K.TASKS) -> DataFrame:
     """An unknown task in ``task_names`` raises."""
     known = F.array(*[F.lit(t) for t in tasks])
-    bad = F.array_except(F.col("task_names"), known)
-    return specs.withColumn("task_names", F.when(F.size(bad) == 0, F.col("task_names")).otherwise(
-        F.raise_error(F.concat(F.lit("Unsupported task list: "), F.array_join(bad, ",")))
-        .cast("array<string>")))
+    bad = F.coalesce(F.array_except(F.col("task_names"), known), F.array(F.lit("NULL")))
+    return require(specs, F.size(bad) == 0,
+                   F.concat(F.lit("Unsupported task list: "), F.array_join(bad, ",")))
 
 
 def drop_null_fields(specs: DataFrame, cols: Sequence[str] | None = None,

@@ -54,17 +54,24 @@ def evaluate_run(spark: SparkSession, samples_path: str, run: RunConfig,
     then over the overridden list.
     """
     chosen = E.parse_task_selection(tasks) or tuple(run.task_names)
-    samples = E.select_tasks(readers.read_eval_samples(spark, samples_path), list(chosen))
+    samples = readers.read_eval_samples(spark, samples_path, tasks=chosen)
+    # One row per task comes to the driver; a task without samples must not
+    # leave an earlier evaluation's predictions to be counted.
+    without = set(chosen) - {r["task"] for r in samples.select("task").distinct().collect()}
+    if without:
+        raise ValueError(f"no samples for: {', '.join(sorted(without))}")
     generated = E.generate_batches(E.with_eval_prompt(samples), generator_factory,
                                    batch_size=batch_size, keep=("id", "task", "label", "pos"))
     scored = E.score_predictions(generated)
     pred_path = f"{predictions_root.rstrip('/')}/{run.run_name}"
     writers.write_jsonl(scored.select("id", "task", "label", "pos", "prediction", "correct",
-                                      "generated_text"), pred_path, partition_col="task")
+                                      "generated_text"), pred_path, partition_col="task",
+                        keep_other_parts=True)
     # Accuracy is computed from the written predictions: generation runs once.
-    preds = spark.read.schema(PREDICTION_SCHEMA).json(pred_path).withColumn(
-        "run_name", F.lit(run.run_name))
-    acc = E.task_accuracy(preds, ("run_name",), requested=list(chosen))
+    preds = (spark.read.schema(PREDICTION_SCHEMA).json(pred_path)
+             .filter(F.col("_part").isin(*chosen)).withColumn("run_name", F.lit(run.run_name)))
+    runs = spark.createDataFrame([(run.run_name,)], "run_name string")
+    acc = E.task_accuracy(preds, ("run_name",), requested=list(chosen), runs=runs)
     metrics = E.run_metrics(acc, ("run_name",), tasks=list(chosen)).drop("n_tasks")
     for key in ("model_name", "model_id", "method", "scope", "runtime"):
         metrics = metrics.withColumn(key, F.lit(getattr(run, key)))
@@ -94,9 +101,12 @@ def analyze(spark: SparkSession, out_dir: str, metrics_root: str | None = None,
         if results_csv is None:
             raise FileNotFoundError("no run metrics found and no results CSV given")
         runs = readers.read_results_csv(spark, results_csv)
+        # Rows of a CSV count in file order, whatever else it holds.
+        order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                         F.monotonically_increasing_id().alias("row"))
+        runs = runs.select(*[c for c in runs.columns if c != "run_dir"], order.alias("run_dir"))
     runs = G.label_conditions(G.require_columns(runs))
-    if "run_dir" in runs.columns:
-        runs = G.first_run(runs, "run_dir")
+    runs = G.first_run(runs, "run_dir")
     runs = runs.cache()
     gains = G.paired_gains(runs).cache()
     scope_tbl = G.scope_summary(runs, gains)

@@ -33,7 +33,7 @@ def q_read_training_json(spark, sf):
     t = t.withColumn("input", F.when(F.col("input") != "", F.col("input")))
     path = writers.write_json_array(t.select("instruction", "input", "output"),
                                     scratch_path(spark, "training-json"))
-    return readers.read_training_json(spark, path)
+    return readers.read_training_json(spark, path).select("instruction", "input", "output")
 
 
 PIQA_SCHEMA = "id bigint, goal string, sol1 string, sol2 string, label bigint"

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import json
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -15,31 +15,31 @@ from pyspark.sql import types as T
 
 from evalspark import constants as K
 from evalspark.functions.text import as_text
+from evalspark.operators.common import dense_position, require
 
 TRAINING_SCHEMA = "instruction string, input string, output string"
 SAMPLE_SCHEMA = ("id string, task string, instruction string, choices array<string>, "
                  "label string, pos bigint")
 
 
-def _required(c: str, what: str):
-    return F.when(F.col(c).isNull(),
-                  F.raise_error(F.lit(f"{what}: required field '{c}' is missing"))
-                  .cast("string")).otherwise(F.col(c))
-
-
 def read_training_json(spark: SparkSession, path: str) -> DataFrame:
-    """A1: JSON *array* file(s) -> (instruction, input, output).
+    """A1: JSON *array* file(s) -> (pos, instruction, input, output).
 
-    Extra keys are dropped by the schema; scalars arrive as strings; ``input``
-    defaults to ''. ``instruction``/``output`` are required. One array file
-    is one split (not splittable): convert big inputs once to JSONL/Parquet.
+    ``pos`` is the place over all files in path order. Extra keys are dropped
+    by the schema; scalars arrive as strings; ``input`` defaults to ''. A row
+    without ``instruction`` or ``output`` fails the job, whichever columns are
+    used. One array file is one split (not splittable): convert big inputs
+    once to JSONL/Parquet.
     """
     raw = spark.read.schema(TRAINING_SCHEMA).option("multiLine", True).option(
         "mode", "FAILFAST").json(path)
-    return raw.select(
-        _required("instruction", "training row").alias("instruction"),
-        F.coalesce(F.col("input"), F.lit("")).alias("input"),
-        _required("output", "training row").alias("output"))
+    for c in ("instruction", "output"):
+        raw = require(raw, F.col(c).isNotNull(), f"training row: required field '{c}' is missing")
+    placed = dense_position(
+        raw.select("*", F.col("_metadata.file_path").alias("_f"),
+                   F.monotonically_increasing_id().alias("_m")), ["_f", "_m"], out="pos")
+    return placed.select("pos", "instruction",
+                         F.coalesce(F.col("input"), F.lit("")).alias("input"), "output")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType,
@@ -48,12 +48,38 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType,
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
-def read_eval_samples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def _has_positions(spark: SparkSession, path: str) -> bool:
+    """Whether the records carry ``pos``, told from the first line."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    return first is not None and "pos" in json.loads(first["value"])
+
+
+def _with_line_positions(spark: SparkSession, path: str) -> DataFrame:
+    """Sample records with their place in their own file as ``pos``."""
+    raw = read_jsonl(spark, path, SAMPLE_SCHEMA).drop("pos")
+    lines = raw.select("*", F.col("_metadata.file_path").alias("_f"),
+                       F.col("_metadata.file_block_start").alias("_b"),
+                       F.monotonically_increasing_id().alias("_m"))
+    return dense_position(lines, ["_b", "_m"], ["_f"], out="pos").drop("_f", "_b", "_m")
+
+
+def read_eval_samples(spark: SparkSession, path: str, limit: int | None = None,
+                      tasks: Sequence[str] | None = None) -> DataFrame:
     """A3: normalised sample JSONL -> EvalSample (all fields as text), then a
-    per-task head limit in source order."""
+    per-task head limit in source order.
+
+    Records without ``pos`` get their line's place in its file. ``tasks``
+    keeps those tasks; where the folder has one part per task, only their
+    files are read.
+    """
     from evalspark.operators.normalize import head_limit
 
-    raw = read_jsonl(spark, path, SAMPLE_SCHEMA)
+    raw = (read_jsonl(spark, path, SAMPLE_SCHEMA) if _has_positions(spark, path)
+           else _with_line_positions(spark, path))
+    if tasks is not None:
+        raw = raw.filter(F.col("task").isin(*tasks))
+        if "_part" in raw.columns:
+            raw = raw.filter(F.col("_part").isin(*tasks))
     samples = raw.select(
         "id", "task", "instruction",
         F.transform(F.col("choices"), lambda c: as_text(c)).alias("choices"),
@@ -71,8 +97,6 @@ def lines_with_position(spark: SparkSession, path: str) -> DataFrame:
     Dense positions over that key are computed without a single-task funnel
     and without leaving the JVM.
     """
-    from evalspark.operators.common import dense_position
-
     text = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_f"),
         F.col("_metadata.file_block_start").alias("_b"),
@@ -85,19 +109,20 @@ def zip_labels(spark: SparkSession, records_path: str, labels_path: str,
                record_schema: str | T.StructType, label_col: str = "label") -> DataFrame:
     """A4: join a JSONL records file and a labels file by line position.
 
-    Unequal lengths are an error (strict zip): a full outer join on position
-    with ``raise_error`` when either side is missing or a record line does not
-    parse.
+    Unequal lengths are an error (strict zip), as is a record line that does
+    not parse: a full outer join on position, with both checked per row.
     """
     recs = lines_with_position(spark, records_path)
-    recs = recs.select(F.col("pos").alias("_rpos"), F.from_json("line", record_schema).alias("r"))
-    labels = lines_with_position(spark, labels_path).withColumnRenamed("line", "_label")
-    joined = recs.join(labels, recs["_rpos"] == labels["pos"], "full_outer")
-    checked = F.when(F.col("r").isNull() | F.col("_label").isNull(),
-                     F.raise_error(F.lit("records and labels differ in length")).cast("string")
-                     ).otherwise(F.col("_label"))
-    return joined.select(F.coalesce("_rpos", "pos").alias("pos"), "r.*",
-                         checked.alias(label_col))
+    labels = lines_with_position(spark, labels_path).select(
+        F.col("pos").alias("_lpos"), F.col("line").alias("_label"))
+    joined = require(recs.join(labels, recs["pos"] == labels["_lpos"], "full_outer"),
+                     F.col("pos").isNotNull() & F.col("_lpos").isNotNull(),
+                     "records and labels differ in length")
+    # FAILFAST raises on a line that does not parse; the check keeps the parse
+    # in every plan, whichever columns are used.
+    parsed = require(joined.withColumn("_r", F.from_json("line", record_schema, {"mode": "FAILFAST"})),
+                     F.col("_r").isNotNull() | F.col("_lpos").isNull(), "a record line holds no object")
+    return parsed.select("pos", "_r.*", F.col("_label").alias(label_col))
 
 
 def _run_dir_of(path_col):
@@ -122,7 +147,11 @@ def _scan_json_files(spark: SparkSession, root: str, pattern: str, mode: str,
     return df.withColumn("run_dir", _run_dir_of(F.col("_metadata.file_path")))
 
 
-def read_run_metrics(spark: SparkSession, root: str, pattern: str = "*/metrics.json",
+# A run's metrics: one named file, or the part that ``write_metrics_json`` wrote.
+METRICS_FILES = "{*/metrics.json,_run=*/part-*.json}"
+
+
+def read_run_metrics(spark: SparkSession, root: str, pattern: str = METRICS_FILES,
                      strict: bool = True) -> DataFrame | None:
     """A5: every run's metrics file under ``root``; the schema is the union of
     all keys. ``strict`` fails on a malformed file, otherwise such files are
@@ -170,6 +199,12 @@ SPEC_SCHEMA = T.StructType([
 ])
 
 
+REQUIRED_SPEC_KEYS = (
+    "experiment_name", "task_names", "model.name", "model.model_id", "model.learning_rate",
+    "adapter.method", "adapter.scope", "runtime.name", "runtime.per_device_batch_size",
+    "runtime.effective_batch_size", "runtime.gradient_checkpointing")
+
+
 def _toml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pd.DataFrame({
@@ -180,7 +215,9 @@ def _toml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_run_specs(spark: SparkSession, root: str,
                    pattern: str = "*/config.snapshot.toml") -> DataFrame:
-    """One spec row per run snapshot, absent keys filled with defaults.
+    """One spec row per run snapshot, absent keys filled with defaults. A
+    snapshot without a key that has no default fails the job, as does a value
+    of another type.
 
     Each snapshot is read whole (``wholetext`` must be passed as the
     parameter, the option alone is overridden), parsed to JSON text in an
@@ -190,7 +227,10 @@ def read_run_specs(spark: SparkSession, root: str,
     text = text.select("value", F.col("_metadata.file_path").alias("path"))
     parsed = text.mapInPandas(_toml_to_json, "path string, json string")
     spec = parsed.select(_run_dir_of(F.col("path")).alias("run_dir"),
-                         F.from_json("json", SPEC_SCHEMA).alias("s"))
+                         F.from_json("json", SPEC_SCHEMA, {"mode": "FAILFAST"}).alias("s"))
+    for key in REQUIRED_SPEC_KEYS:
+        spec = require(spec, F.col(f"s.{key}").isNotNull(),
+                       F.concat(F.lit(f"snapshot lacks {key}: "), F.col("run_dir")))
     d = K.SPEC_DEFAULTS
 
     def dflt(c, key):

@@ -19,17 +19,19 @@ def _sorted_select(df: DataFrame) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite",
-                partition_col: str | None = None) -> str:
+                partition_col: str | None = None, keep_other_parts: bool = False) -> str:
     """One object per line, keys in sorted order, nulls kept.
 
     ``partition_col`` writes one folder per value (e.g. one per task) while
-    every record keeps that key, as the per-task files upstream do.
+    every record keeps that key, as the per-task files upstream do. With
+    ``keep_other_parts`` an overwrite replaces only the folders it has rows for.
     """
     out = _sorted_select(df)
     writer = None
     if partition_col is not None:
         out = out.withColumn("_part", F.col(partition_col))
-        writer = out.write.mode(mode).partitionBy("_part")
+        writer = out.write.mode(mode).partitionBy("_part").option(
+            "partitionOverwriteMode", "dynamic" if keep_other_parts else "static")
     else:
         writer = out.write.mode(mode)
     writer.option("ignoreNullFields", False).json(path)
