@@ -57,6 +57,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if current:
         # Spark appends a per-application subfolder; its parent is the root.
         return current.rstrip("/").rsplit("/", 1)[0]
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="evalspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
