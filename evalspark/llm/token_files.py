@@ -119,8 +119,6 @@ class Encoder:
     def learn(self, pieces: set[str]) -> None:
         """Take new pieces in: those in plain letters by their pre-tokens,
         the others whole through the library."""
-        if len(self.known) + len(pieces) > CACHE_ENTRIES:
-            self.known.clear()
         known, word, plain = self.known, self.word, _PLAIN.match
         for p in pieces:
             if self.letters is not None and plain(p):
@@ -136,11 +134,10 @@ class Encoder:
             cut.append(None if whole else _PIECE.findall(text))
         used = set().union(*[p for p in cut if p is not None])
         new = used.difference(self.known)
-        if new:
-            before = len(self.known)
-            self.learn(new)
-            if len(self.known) < before:  # the memory was emptied: take in the rest again
-                self.learn(used.difference(self.known))
+        if len(self.known) + len(new) > CACHE_ENTRIES:  # emptied before a slice only: it needs all of its pieces
+            self.known.clear()
+            new = used
+        self.learn(new)
         get = self.known.__getitem__
         return [np.array(self.ids(t), self.dtype).tobytes() if p is None else b"".join(map(get, p))
                 for t, p in zip(texts, cut)]

@@ -99,6 +99,17 @@ def test_token_files_equal_library(spark, docs):
     assert len(got) == len(ROWS)
 
 
+def test_token_memory_overflows_within_a_slice(monkeypatch):
+    """New pieces that outnumber a nearly full memory don't push out the old ones of the same slice."""
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 10)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, enc = Tokenizer.from_file(path), token_files.Encoder(path)
+    old = " ".join(f"w{i}" for i in range(6))
+    for texts in ([old], [old + " " + " ".join(f"n{i}" for i in range(8))], [old, old + " é"]):
+        want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [[int(x) for x in memoryview(b).cast("H")] for b in enc.encode(texts)] == want
+
+
 def test_token_counts_equal_library(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
