@@ -22,7 +22,7 @@ from evalspark.llm.common import as_bytes, written
 from evalspark.llm.components import components
 from evalspark.llm.words import mix, shingle_sets
 
-REGISTERS, BAND = 128, 4  # at similarity 0.85 the 32 bands miss a pair with chance 5e-11
+REGISTERS, BAND = 128, 4  # at similarity 0.85 the 32 bands miss a pair with chance 5e-11, at 0.8 with 5e-8
 BASE, OFFSET = 1.001, 8192  # scale of the registers; 16 bits hold every set up to e**50 elements
 TEXT_SLICE = 4 << 20
 BLOCK_ROWS, BLOCK_SHINGLES = 768, 2 << 20  # of a candidate group, in one task

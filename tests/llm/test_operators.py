@@ -179,3 +179,12 @@ def test_pipeline_keeps_clean_documents(spark, tmp_dir):
     counts = {r["doc_id"]: r["count"] for r in at.groupBy("doc_id").count().collect()}
     assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == counts
     assert set(counts.values()) <= {1, 2} and set(counts) <= set(kept["decontaminate"])
+
+
+def test_pipeline_links_copies_from_four_fifths(spark):
+    """Similarity 87/105 (0.83) goes, 84/108 (0.78) stays; op2 keeps its own 0.85."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [words, words[:-9] + [f"x{i}" for i in range(9)], words[:-12] + [f"y{i}" for i in range(12)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {0, 2}
+    assert near_dup.near_duplicates(docs).filter("kept").count() == 3
