@@ -71,7 +71,7 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.suffix_tree_scores(table(spark, sf_dir, "documents"), depth=None)
+    return suffix_tree.suffix_tree_scores(table(spark, sf_dir, "documents"), depth=None, least=2, own=1)
 
 
 @query
