@@ -144,3 +144,48 @@ def test_overwriting_a_part_keeps_the_others(spark, tmp_dir):
                         partition_col="task", keep_other_parts=True)
     got = spark.read.schema("task string, v int").json(path).collect()
     assert sorted((r["task"], r["v"]) for r in got) == [("boolq", 2), ("piqa", 1)]
+
+
+def _selections(df, column, good):
+    """Ways in which a caller may go on from a checked frame."""
+    c = F.col(column)
+    yield "equal", lambda d: d.filter(c == good)
+    yield "null-safe", lambda d: d.filter(c.eqNullSafe(good))
+    yield "in", lambda d: d.filter(c.isin(good, "nothing else"))
+    yield "not", lambda d: d.filter(c != good)
+    yield "groups", lambda d: d.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    yield "join", lambda d: d.join(df.sparkSession.createDataFrame([(good, 1)], f"{column} string, one int"), column)
+
+
+@pytest.mark.parametrize("column,good", [("scope", "full"), ("method", "lora")])
+def test_checks_leave_later_selections_alone(spark, column, good):
+    rows = [("a", "LoRA", "Full", 0.5), ("b", "dora", "attention_only", 0.6), ("c", "dora", "full", 0.7),
+            ("d", "lora", "mlp_only", 0.4)]
+    runs = _runs(spark, rows)
+    plain = runs.withColumn("method", F.lower("method")).withColumn("scope", F.lower("scope"))
+    for name, step in _selections(runs, column, good):
+        key = sorted(plain.columns) if name != "groups" else [column, "n"]
+        got, want = step(G.label_conditions(runs)), step(plain)
+        both = [c for c in key if c in want.columns]
+        assert sorted(got.select(both).collect()) == sorted(want.select(both).collect()), name
+    bad = G.label_conditions(_runs(spark, [*rows, ("e", "lora", "nowhere", 0.1)]))
+    for name, step in _selections(runs, column, good):
+        with pytest.raises(JOB_ERRORS):
+            step(bad).collect()
+    with pytest.raises(JOB_ERRORS):
+        bad.select("run_dir").collect()
+    with pytest.raises(JOB_ERRORS):
+        bad.count()
+
+
+def test_every_check_survives_an_equality_on_its_column(spark):
+    """The same exposure in the other operators that check rows."""
+    specs = spark.createDataFrame([(["boolq"], 1), (["piqa", "boolq"], 2)], "task_names array<string>, n int")
+    assert I.validate_spec(specs).filter(F.size("task_names") == 2).count() == 1
+    from evalspark.operators import normalize as N
+    raw = spark.createDataFrame([(0, "1", "c", ["a", "b", "c", "d"], "0"), (1, "2", "c", ["a", "b", "c", "d", "e"], "1")],
+                                "pos long, ind string, ctx string, endings array<string>, label string")
+    assert N.normalize_hellaswag(raw).filter(F.size("choices") == 4).count() == 1
+    a = spark.createDataFrame([("m1", 0, [1.0, 1.0]), ("m2", 0, [1.0, 2.0])], "module string, k int, a array<double>")
+    merged = H.merge_lora(_weights(spark, ["m1", "m2"]), a, 2, 1)
+    assert merged.filter(F.col("module") == "m2").count() == 1

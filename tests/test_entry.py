@@ -8,8 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from evalspark.plans import registry
 from evalspark.plans.bindings import TABLES
 
+registry.load_all()
+
 
 def test_entry_flagship(spark):
     df = E.entry(spark)
@@ -51,12 +54,12 @@ def test_strict_module_selection_rejects_missing_targets(spark, sf_small):
         E.queries()["select_modules"](spark, sf_small).collect()
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF_ORACLE)
+    df = registry.QUERIES[name](spark, SF_ORACLE)
     scols = df.columns
     srows = df.collect()
-    res = duck.execute(E.oracle_sql()[name])
+    res = duck.execute(registry.ORACLES[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(scols) == sorted(dcols)

@@ -14,6 +14,7 @@ from evalspark.operators import normalize as N
 from evalspark.operators import scoring as E
 from evalspark.operators import sequences as D
 from evalspark.plans import bindings as B
+from evalspark.plans import registry
 
 
 def plan_of(df) -> str:
@@ -88,9 +89,9 @@ def test_projection_never_shuffles_weight_rows(spark, sf_small):
 
 
 def test_no_registered_query_uses_a_nested_loop_join(spark):
-    import __spark_entry__ as E
+    registry.load_all()
     bad = []
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(registry.QUERIES.items()):
         plan = plan_of(fn(spark, "/root/testdata/sf0.01"))
         if "NestedLoopJoin" in plan or "CartesianProduct" in plan:
             bad.append(name)
