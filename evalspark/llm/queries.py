@@ -14,6 +14,7 @@ from evalspark.llm import (
     exact,
     mixing,
     near_dup,
+    periodic_runs,
     quality,
     suffix,
     suffix_tree,
@@ -85,6 +86,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), edit=periodic_runs.repeated_tail)
+    return periodic_runs.run_digest(found)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
