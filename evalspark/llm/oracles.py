@@ -117,5 +117,59 @@ SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id
 FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 """
 
+ORACLES["op11_merkle_manifest"] = r"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS g,
+    concat_ws('',
+      coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id::VARCHAR, '-'),
+      coalesce(octet_length(encode(source)) || ':' || source, '-'),
+      coalesce(octet_length(encode(lang)) || ':' || lang, '-')) AS head,
+    n_chars::HUGEINT AS n, coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+  FROM documents),
+b AS (
+  SELECT doc_id, g, n, head, tail, list_reduce(
+      list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)),
+        lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)) AS c
+  FROM raw),
+lf AS (
+  SELECT doc_id, g, sha256(head || coalesce(length(n::VARCHAR) || ':' || n, '-') || tail) AS leaf,
+    CASE WHEN xor(c, 4294967295) % 7 = 0
+      THEN sha256(head || coalesce(length((n + 1)::VARCHAR) || ':' || (n + 1), '-') || tail) END AS claim
+  FROM b),
+nl AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, claim NULLS FIRST) - 1 AS i FROM lf),
+t(g, lvl, i, h) AS (
+  SELECT g, 0, i, leaf FROM nl
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, max(i) OVER (PARTITION BY g) AS m FROM t) WHERE m > 0 GROUP BY g, lvl, i // 2),
+sub AS (SELECT g, max(lvl) AS top, max_by(h, lvl) AS subroot FROM t GROUP BY g),
+ns AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS gi FROM sub),
+u(lvl, i, h) AS (
+  SELECT 0, gi, subroot FROM ns
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, max(i) OVER () AS m FROM u) WHERE m > 0 GROUP BY lvl, i // 2),
+r AS (SELECT max(lvl) AS top, max_by(h, lvl) AS root FROM u),
+d AS (SELECT nl.*, ns.top, ns.subroot, ns.gi, r.root, r.top AS rtop,
+             row_number() OVER () AS k FROM nl JOIN ns USING (g) CROSS JOIN r),
+steps AS (
+  SELECT d.k, lv.l AS l, (d.i >> lv.l) & 1 AS odd, t.h FROM d, (SELECT unnest(range(64)) AS l) lv
+    LEFT JOIN t ON t.g = d.g AND t.lvl = lv.l AND t.i = xor(d.i >> lv.l, 1) WHERE lv.l < d.top
+  UNION ALL
+  SELECT d.k, d.top + lv.l, (d.gi >> lv.l) & 1, u.h FROM d, (SELECT unnest(range(64)) AS l) lv
+    LEFT JOIN u ON u.lvl = lv.l AND u.i = xor(d.gi >> lv.l, 1) WHERE lv.l < d.rtop),
+p AS (SELECT k, string_agg(h, '' ORDER BY l) AS sib, list({'odd': odd, 'h': h} ORDER BY l) AS way FROM steps GROUP BY k),
+f(k, l, h) AS (
+  SELECT k, 0, coalesce(claim, leaf) FROM d
+  UNION ALL
+  SELECT f.k, f.l + 1, sha256(CASE WHEN way[f.l + 1].odd = 1 THEN coalesce(way[f.l + 1].h, '') || f.h
+                                   ELSE f.h || coalesce(way[f.l + 1].h, '') END)
+  FROM f JOIN p ON p.k = f.k WHERE f.l < len(way)),
+z AS (SELECT k, max_by(h, l) AS folded_root FROM f GROUP BY k)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(sib, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN z ON z.k = d.k LEFT JOIN p ON p.k = d.k
+"""
+
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -12,6 +12,7 @@ from evalspark.llm import (
     bpe,
     decontaminate,
     exact,
+    merkle,
     mixing,
     near_dup,
     periodic_runs,
@@ -86,6 +87,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle.build_manifest(table(spark, sf_dir, "documents"),
+                                     claimed={"n_chars": merkle.changed_counts()})
+    return merkle.proofs(manifest).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256",
+                                          "folded_root", "verified")
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), edit=periodic_runs.repeated_tail)
