@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from evalspark.llm import words
 from evalspark.llm.common import as_bytes
@@ -174,9 +175,9 @@ def _score(weights):
 def _scored(docs: DataFrame, weights: np.ndarray, text_col: str, **columns) -> DataFrame:
     rows = docs.select(*[c.alias(n) for n, c in columns.items()],
                        F.col(text_col).cast("binary").alias("t"))
-    kinds = [f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in columns]
+    schema = StructType([*(StructField(n, rows.schema[n].dataType) for n in columns), StructField("score", DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MiB, whatever the input
-    return rows.mapInArrow(_score(sent), ", ".join([*kinds, "score double"]))
+    return rows.mapInArrow(_score(sent), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
@@ -201,5 +202,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col
               text_col: str = "text", **options) -> DataFrame:
     """The documents, columns unchanged, that score at least ``threshold``."""
     weights = fit(docs, labels, id_col, text_col, **options)
-    row = F.struct(*[F.col(c) for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return _scored(docs, weights, text_col, row=row).filter(F.col("score") >= threshold).select("row.*")

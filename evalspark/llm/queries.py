@@ -20,6 +20,7 @@ from evalspark.llm import (
     suffix,
     suffix_tree,
     token_files,
+    toxicity,
     warc,
 )
 from evalspark.llm.common import public_tokenizer, table
@@ -95,6 +96,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           "folded_root", "verified")
 
 
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), edit=periodic_runs.repeated_tail)

@@ -41,11 +41,12 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def hash_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the words of a few texts run together."""
+def hash_segment(data: bytes, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of a few texts run together;
+    ``blank`` tells the bytes between words."""
     b = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = ~_BLANK[b]
+    inside[1:-1] = ~blank[b]
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[::2], edges[1::2]
     up, down = _powers(len(b))
@@ -55,6 +56,22 @@ def hash_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def hash_stems(data: bytes, blank: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """(starts, hashes) of a segment's words, then the hashes of their first
+    ``sizes`` bytes, 0 for words that are no longer."""
+    starts, ends, h = hash_segment(data, blank)
+    b = np.frombuffer(data, np.uint8)
+    up, down = _powers(len(b))
+    sums, stems = np.zeros(len(b) + 1, np.uint64), []
+    with np.errstate(over="ignore"):
+        np.cumsum(_BYTE[b] * up[:len(b)], out=sums[1:])
+        for size in sizes:
+            stop = np.minimum(starts + size, ends)
+            stem = mix((sums[stop] - sums[starts]) * down[starts] + np.uint64(size))
+            stems.append(np.where(ends - starts > size, stem, np.uint64(0)))
+    return (starts, h, *stems)
+
+
 def _segments(texts: list[bytes]):
     """Lists of (text number, bytes) of about SEGMENT bytes together; a long
     text is cut after blanks."""
