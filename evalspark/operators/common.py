@@ -13,12 +13,6 @@ from evalspark import constants as K
 # rows; beyond that the join falls back to a shuffle join.
 BROADCAST_ROW_LIMIT = 1_000_000
 
-# Spark plans ``row_number() <= n`` as a partial per-partition group limit
-# (WindowGroupLimit) before the shuffle when n is at most this value
-# (spark.sql.optimizer.windowGroupLimitThreshold), so a hot group never ships
-# more than n rows per map task. Above it we use exact dense positions.
-GROUP_LIMIT_THRESHOLD = 1000
-
 
 def require(df: DataFrame, ok: Column, message: Column | str) -> DataFrame:
     """Fail the job when any row breaks ``ok``.
@@ -80,25 +74,6 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str,
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
-def task_dim(spark: SparkSession, tasks: Sequence[str] = K.TASKS,
-             labels: dict[str, str] = K.TASK_LABELS) -> DataFrame:
-    """(task, task_label, task_ord) in semantic order."""
-    rows = [(t, labels.get(t, t), i) for i, t in enumerate(tasks)]
-    return small_table(spark, rows, "task string, task_label string, task_ord int")
-
-
-def scope_dim(spark: SparkSession, scopes: Sequence[str] = K.SCOPES,
-              labels: dict[str, str] = K.SCOPE_LABELS) -> DataFrame:
-    rows = [(s, labels[s], i) for i, s in enumerate(scopes)]
-    return small_table(spark, rows, "scope string, scope_label string, scope_ord int")
-
-
-def method_dim(spark: SparkSession, methods: Sequence[str] = K.METHODS,
-               labels: dict[str, str] = K.METHOD_LABELS) -> DataFrame:
-    rows = [(m, labels[m], i) for i, m in enumerate(methods)]
-    return small_table(spark, rows, "method string, method_label string, method_ord int")
-
-
 def map_literal(mapping: dict, key: Column) -> Column:
     """Look a key up in a small driver-side mapping (NULL when absent)."""
     expr = None
@@ -150,29 +125,18 @@ def dense_position(df: DataFrame, order_cols: Sequence[str],
     w_prev = (Window.partitionBy(*partition_cols) if partition_cols else Window.partitionBy())
     w_prev = w_prev.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w_prev), F.lit(0))).drop("_n")
-    joined = ranged.join(F.broadcast(offsets), ["_rp", *partition_cols])
+    side = offsets.withColumnsRenamed({c: f"_of_{c}" for c in ["_rp", *partition_cols]})
+    same = ranged["_rp"] == side["_of__rp"]
+    for c in partition_cols:  # a null group is a group
+        same = same & ranged[c].eqNullSafe(side[f"_of_{c}"])
+    joined = ranged.join(F.broadcast(side), same).drop(*[f"_of_{c}" for c in ["_rp", *partition_cols]])
     pos = F.col("_off") + F.col("_ri") - F.col("_first")
     return joined.withColumn(out, pos.cast("long")).drop("_rp", "_ri", "_first", "_off")
 
 
-def first_n(df: DataFrame, n: int | None, order_cols: Sequence[str],
-            partition_cols: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows per group in ``order_cols`` order; ``None`` keeps all.
-
-    Small n: ``row_number() <= n``, which Spark turns into a partial group
-    limit before the shuffle. Large n: exact dense positions (no single-task
-    funnel for a hot group).
-    """
-    if n is None:
-        return df
-    if n <= 0:
-        return df.limit(0)
-    if n <= GROUP_LIMIT_THRESHOLD:
-        if not partition_cols:
-            # TakeOrderedAndProject: per-partition top-n, then a merge of n per task.
-            return df.orderBy(*order_cols).limit(n)
-        w = Window.partitionBy(*partition_cols)
-        ranked = df.withColumn("_rn", F.row_number().over(w.orderBy(*order_cols)))
-        return ranked.filter(F.col("_rn") <= n).drop("_rn")
-    positioned = dense_position(df, order_cols, partition_cols, out="_p")
-    return positioned.filter(F.col("_p") < n).drop("_p")
+def first_row(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str]) -> DataFrame:
+    """The first row per group in ``order_cols`` order: ``row_number() = 1``,
+    which Spark plans as a partial group limit, so a hot group ships one row
+    per map task."""
+    w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")

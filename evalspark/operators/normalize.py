@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from evalspark import constants as K
 from evalspark.functions.text import as_text, label_to_index
-from evalspark.operators.common import first_n, require, small_table
+from evalspark.operators.common import require, small_table
+from evalspark.operators.selection import first_n
 
 def _id_or(df: DataFrame, id_col: str, fallback: Column) -> Column:
     """``id`` when the column exists and is non-null, else the fallback text."""
@@ -175,8 +176,9 @@ def normalize_all(raw_by_task: Mapping[str, DataFrame], pos_col: str = "pos",
 
 def head_limit(samples: DataFrame, n: int | None, group: Sequence[str] = ("task",),
                order: Sequence[str] = ("pos",)) -> DataFrame:
-    """First ``n`` rows per task in source order; None keeps everything."""
-    return first_n(samples, n, order_cols=list(order), partition_cols=list(group))
+    """First ``n`` rows per task in source order; None keeps everything.
+    Null positions are an error, as are rows that tie at the limit."""
+    return first_n(samples, n, list(order), list(group))
 
 
 def benchmark_catalog(spark: SparkSession,

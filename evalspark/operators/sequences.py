@@ -2,25 +2,30 @@
 
 Token ids are produced by a word-level vocabulary table (the tokenizer shape
 the reference's tests use): split on ``\\w+|[^\\w\\s]+``, look each piece up,
-unknown pieces get the unk id. Lookups go through a broadcast hash join
-(vocabulary of checked size); only the texts are shuffled, once, by row key.
+unknown pieces get the unk id. Lookups run inside Arrow batches against a
+broadcast vocabulary of checked size, so nothing is exploded or shuffled.
+Batches and the holdout are decided on narrow key tables; token arrays are
+written once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark import constants as K
 from evalspark.functions.text import col_of
-from evalspark.operators.common import dense_position, first_n, sized_broadcast
+from evalspark.operators.common import dense_position, require
+from evalspark.operators.selection import first_n, not_beyond, nth_keys
 
 
 def cap_samples(df: DataFrame, n: int | None, order_cols: Sequence[str] = ("pos",)) -> DataFrame:
     """The first ``max_train_samples`` rows in source order (None = all)."""
-    return first_n(df, n, order_cols=list(order_cols))
+    return first_n(df, n, list(order_cols))
 
 
 def build_vocabulary(texts: DataFrame, text_col: str = "text", size: int = 200,
@@ -35,56 +40,66 @@ def build_vocabulary(texts: DataFrame, text_col: str = "text", size: int = 200,
     return top.select("token", (F.row_number().over(w) + (first_id - 1)).cast("int").alias("id"))
 
 
-# Vocabularies up to this many entries are broadcast as a hash-join side;
-# larger ones are joined by a shuffle on the token (AQE splits hot tokens).
+# Vocabularies up to this many entries are broadcast; larger ones are joined by
+# a shuffle on the token (AQE splits hot tokens).
 VOCAB_BROADCAST_LIMIT = 2_000_000
 
 
 def _pieces(c: Column | str) -> Column:
-    return F.regexp_extract_all(col_of(c), F.lit(K.TOKEN_PATTERN), 0)
+    return F.coalesce(F.regexp_extract_all(col_of(c), F.lit(K.TOKEN_PATTERN), 0), F.array().cast("array<string>"))
 
 
-def _vocab_side(vocab: DataFrame) -> DataFrame:
-    side = vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_tid"))
-    return sized_broadcast(side, VOCAB_BROADCAST_LIMIT)
+def token_ids(vocab: DataFrame, unk_id: int = K.UNK_ID):
+    """D2 as a column function: ``f(text column) -> ARRAY<INT>``.
 
-
-def encode_many(df: DataFrame, texts: dict[str, str], vocab: DataFrame, key_cols: Sequence[str],
-                unk_id: int = K.UNK_ID, carry: Sequence[str] = ()) -> DataFrame:
-    """D2 for several text columns at once: ``{out_col: text_col}`` -> ARRAY<INT>.
-
-    The rows are hash-partitioned by ``key_cols`` (the one shuffle, of texts,
-    not tokens); every piece becomes a row tagged with its column and
-    position; a broadcast hash join (checked size) looks the pieces up in
-    O(1); the regroup by ``key_cols`` then needs no second shuffle because
-    the data is already clustered by that key. ``key_cols`` must identify a row.
+    The vocabulary (checked against ``VOCAB_BROADCAST_LIMIT``; None beyond it)
+    is broadcast as two Arrow arrays; each batch's distinct pieces are looked
+    up at once. A repeated token has its smallest id. A null text has no ids.
     """
-    outs = list(texts)
-
-    def tag(w: int):
-        return lambda t, i: F.struct(F.lit(w).alias("w"), i.alias("p"), t.alias("_tok"))
-
-    tagged = F.concat(*[F.transform(_pieces(texts[o]), tag(w)) for w, o in enumerate(outs)])
-    keyed = df.repartition(*key_cols)
-    rows = keyed.select(*key_cols, *carry, F.explode_outer(tagged).alias("_e")).select(
-        *key_cols, *carry, F.col("_e.w").alias("_w"), F.col("_e.p").alias("_p"),
-        F.col("_e._tok").alias("_tok"))
-    looked = rows.join(_vocab_side(vocab), "_tok", "left")
-    ident = F.coalesce(F.col("_tid"), F.lit(unk_id))
-    aggs = [F.array_sort(F.collect_list(F.when(F.col("_w") == w, F.struct(F.col("_p"), ident.alias("i")))))
-            .alias(f"_s{w}") for w in range(len(outs))]
-    grouped = looked.groupBy(*key_cols).agg(*aggs, *[F.first(c).alias(c) for c in carry])
-    for w, o in enumerate(outs):
-        grouped = grouped.withColumn(o, F.transform(F.col(f"_s{w}"), lambda s: s["i"]))
-    return grouped.drop(*[f"_s{w}" for w in range(len(outs))])
+    entries = vocab.groupBy("token").agg(F.min(F.col("id").cast("int")).alias("id")).limit(VOCAB_BROADCAST_LIMIT + 1)
+    table = entries.toArrow()
+    if table.num_rows > VOCAB_BROADCAST_LIMIT:
+        return None
+    sent = vocab.sparkSession.sparkContext.broadcast(
+        (table.column("token").combine_chunks(), table.column("id").combine_chunks()))
+
+    @F.arrow_udf("array<int>")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens, ids = sent.value
+        for pieces in batches:
+            lengths = pc.fill_null(pc.list_value_length(pieces), 0)
+            found = pc.dictionary_encode(pc.list_flatten(pieces))
+            known = pc.take(ids, pc.index_in(found.dictionary, value_set=tokens))
+            flat = pc.take(pc.fill_null(known, unk_id), found.indices)
+            ends = pc.cumulative_sum(lengths).cast(pa.int32())
+            yield pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), flat)
+
+    return lambda text: look_up(_pieces(text))
+
+
+def _encode_by_join(df: DataFrame, text_col: str, vocab: DataFrame, key_cols: Sequence[str], out: str,
+                    unk_id: int, carry: Sequence[str]) -> DataFrame:
+    """D2 against a vocabulary too large to send: a row per piece, joined on
+    the token and regrouped by ``key_cols``, which must identify a row."""
+    side = vocab.groupBy(F.col("token").alias("_tok")).agg(F.min(F.col("id").cast("int")).alias("_tid"))
+    rows = df.select(*key_cols, *carry, F.posexplode_outer(_pieces(text_col)).alias("_p", "_tok"))
+    piece = F.struct("_p", F.coalesce(F.col("_tid"), F.lit(unk_id)).alias("i"))
+    grouped = rows.join(side, "_tok", "left").groupBy(*key_cols).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_p").isNotNull(), piece))).alias("_s"),
+        *[F.first(c).alias(c) for c in carry])
+    return grouped.withColumn(out, F.transform("_s", lambda x: x["i"])).drop("_s")
 
 
 def encode_tokens(df: DataFrame, text_col: str, vocab: DataFrame, key_cols: Sequence[str],
                   out: str = "input_ids", unk_id: int = K.UNK_ID,
                   carry: Sequence[str] = ()) -> DataFrame:
-    """Text -> ARRAY<INT> of token ids (unknown -> ``unk_id``); see
-    :func:`encode_many` for the plan."""
-    return encode_many(df, {out: text_col}, vocab, key_cols, unk_id, carry)
+    """``key_cols``, ``carry`` and ``out``, the token ids of ``text_col``
+    (unknown -> ``unk_id``). Rows stay where they are and need no key of their
+    own; only a vocabulary beyond ``VOCAB_BROADCAST_LIMIT`` is joined."""
+    ids = token_ids(vocab, unk_id)
+    if ids is None:
+        return _encode_by_join(df, text_col, vocab, key_cols, out, unk_id, carry)
+    return df.select(*key_cols, *carry, ids(text_col).alias(out))
 
 
 def truncate_append_eos(ids: Column | str, cutoff: int, eos_id: int = K.EOS_ID) -> Column:
@@ -114,37 +129,46 @@ def tokenize_examples(samples: DataFrame, vocab: DataFrame, key_cols: Sequence[s
                       cutoff: int, train_on_inputs: bool = False,
                       eos_id: int = K.EOS_ID, unk_id: int = K.UNK_ID) -> DataFrame:
     """D2-D5 together: ``full_prompt`` and ``user_prompt`` columns in, model
-    inputs out (input_ids, attention_mask, labels, prompt_len)."""
-    both = encode_many(samples, {"_full": "full_prompt", "_user": "user_prompt"}, vocab,
-                       key_cols, unk_id)
-    ids = truncate_append_eos("_full", cutoff, eos_id)
-    prompt_len = F.least(F.size("_user"), F.lit(cutoff))
-    return (both.withColumn("input_ids", ids)
-                .withColumn("prompt_len", prompt_len)
-                .withColumn("attention_mask", attention_mask("input_ids"))
-                .withColumn("labels", mask_labels("input_ids", F.col("prompt_len"),
-                                                  train_on_inputs))
-                .drop("_full", "_user"))
+    inputs out (input_ids, attention_mask, labels, prompt_len). Of the user
+    prompt only the number of pieces is needed, so it isn't encoded."""
+    sized = samples.withColumn("prompt_len", F.least(F.size(_pieces("user_prompt")), F.lit(cutoff)))
+    coded = encode_tokens(sized, "full_prompt", vocab, key_cols, "_full", unk_id, carry=["prompt_len"])
+    return (coded.withColumn("input_ids", truncate_append_eos("_full", cutoff, eos_id))
+                 .withColumn("attention_mask", attention_mask("input_ids"))
+                 .withColumn("labels", mask_labels("input_ids", F.col("prompt_len"), train_on_inputs))
+                 .drop("_full"))
 
 
 def holdout_split(df: DataFrame, val_size: int, seed: int, key_cols: Sequence[str]) -> DataFrame:
     """Exact-size, seeded validation set; adds ``split`` in {train, validation}.
 
-    Rows are ranked by sha256("seed:key...") (ties by key) and the first
-    ``val_size`` go to validation: exact size, stable under repartitioning.
+    The rows of smallest sha256("seed:key...") (then key) go to validation:
+    exact size, stable under repartitioning. Only hashes and keys are read to
+    find the last of them; rows are then marked where they are by comparing.
     No split when ``val_size <= 0`` or ``val_size >= n`` (everything is train).
+    Null or repeated keys at the limit are errors.
     """
     if val_size <= 0:
         return df.withColumn("split", F.lit("train"))
     keys = [F.col(c).cast("string") for c in key_cols]
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), *keys), 256)
-    # dense_position materialises its input once; the size rule then counts
-    # that materialised table instead of recomputing the input.
-    ranked = dense_position(df.withColumn("_h", h), ["_h", *key_cols], out="_hp")
-    n = ranked.count()
-    split = (F.when((F.col("_hp") < val_size) & F.lit(val_size < n), "validation")
-              .otherwise("train"))
-    return ranked.withColumn("split", split).drop("_h", "_hp")
+    order = ["_h", *key_cols]
+    hashed = df.withColumn("_h", h)
+    last = nth_keys(hashed, val_size, order).first()
+    if last is None:  # no more than val_size rows
+        return df.withColumn("split", F.lit("train"))
+    split = F.when(not_beyond(hashed, last, order), "validation").otherwise("train")
+    return hashed.withColumn("split", split).drop("_h")
+
+
+def batch_index(df: DataFrame, batch_size: int, order_cols: Sequence[str], multiple: int = 8) -> DataFrame:
+    """The plan of D7 on a narrow table: per row its ``order_cols``, ``batch``
+    and the batch's ``padded_length``. Only keys and lengths are ranked."""
+    lengths = df.select(*order_cols, F.size("input_ids").alias("_len"))
+    pos = dense_position(lengths, list(order_cols), out="_p")
+    batched = pos.select(*order_cols, "_len", F.floor(F.col("_p") / batch_size).cast("long").alias("batch"))
+    longest = F.max("_len").over(Window.partitionBy("batch"))
+    return batched.select(*order_cols, "batch", (F.ceil(longest / multiple) * multiple).cast("int").alias("padded_length"))
 
 
 def pad_batches(df: DataFrame, batch_size: int, order_cols: Sequence[str],
@@ -152,21 +176,19 @@ def pad_batches(df: DataFrame, batch_size: int, order_cols: Sequence[str],
                 ) -> DataFrame:
     """Consecutive batches of ``batch_size``; every sequence is left-padded
     to the batch's longest length rounded up to a multiple of ``multiple``
-    (ids -> pad, mask -> 0, labels -> -100)."""
-    pos = dense_position(df, list(order_cols), out="_p")
-    batched = pos.withColumn("batch", F.floor(F.col("_p") / batch_size).cast("long")).drop("_p")
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch"))
-    target = (F.ceil(longest / multiple) * multiple).cast("int")
-    k = target - F.size("input_ids")
-    return (batched.withColumn("_k", k)
-                   .withColumn("padded_length", target)
-                   .withColumn("input_ids", F.concat(F.array_repeat(F.lit(pad_id), F.col("_k")),
-                                                     F.col("input_ids")))
-                   .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(0), F.col("_k")),
-                                                          F.col("attention_mask")))
-                   .withColumn("labels", F.concat(F.array_repeat(F.lit(ignore), F.col("_k")),
-                                                  F.col("labels")))
-                   .drop("_k"))
+    (ids -> pad, mask -> 0, labels -> -100).
+
+    The batches are laid out on keys and lengths alone (:func:`batch_index`);
+    the token arrays meet that table once. ``order_cols`` must identify a row
+    and not be null (both fail the job)."""
+    index = batch_index(df, batch_size, order_cols, multiple).groupBy(*order_cols).agg(
+        F.first("batch").alias("batch"), F.first("padded_length").alias("padded_length"), F.count(F.lit(1)).alias("_rows"))
+    index = require(index, F.col("_rows") == 1, "rows of one key can't be told apart in batches").drop("_rows")
+    joined = require(df.join(index, list(order_cols), "left"), F.col("batch").isNotNull(), "a row's key is null")
+    k = F.col("padded_length") - F.size("input_ids")
+    left = {"input_ids": pad_id, "attention_mask": 0, "labels": ignore}
+    return joined.withColumns({c: F.concat(F.array_repeat(F.lit(v), k), F.col(c)) for c, v in left.items()}
+                              ).select(*df.columns, "batch", "padded_length")
 
 
 def accumulation_steps(effective: Column | str, per_device: Column | str) -> Column:

@@ -117,14 +117,25 @@ def q_normalize_all(spark, sf):
 
 
 _HEAD_N = 50
+_HEAD_LARGE = 5000
 
 
-@query("head_limit", SAMPLES_SQL + OUT_SQL + " from (select *, row_number() over "
-       f"(partition by task order by pos) as rn from samples) z where rn <= {_HEAD_N}")
+def _head_sql(n: int) -> str:
+    return (SAMPLES_SQL + OUT_SQL + " from (select *, row_number() over "
+            f"(partition by task order by pos) as rn from samples) z where rn <= {n}")
+
+
+@query("head_limit", _head_sql(_HEAD_N))
 def q_head_limit(spark, sf):
     return _out(N.head_limit(P.prepared_samples(spark, sf), _HEAD_N))
 
 
+@query("head_limit_large", _head_sql(_HEAD_LARGE))
+def q_head_limit_large(spark, sf):
+    """The same plan as ``head_limit`` for a limit of thousands."""
+    return _out(N.head_limit(P.prepared_samples(spark, sf), _HEAD_LARGE))
+
+
 @query("label_to_index", """
 select 'ARC-Easy' as task, p_partkey as pos, substr('ABCD', cast(p_partkey % 4 + 1 as int), 1) as answer_key,
        cast(p_partkey % 4 + 1 as int) as answer_index from part

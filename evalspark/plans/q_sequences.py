@@ -68,6 +68,12 @@ def q_cap_samples(spark, sf):
         "conv_id", "turn")
 
 
+@query("cap_samples_large", f"with {TRAINING_SQL} select conv_id, turn, output from training "
+       "order by conv_id, turn limit 5000")
+def q_cap_samples_large(spark, sf):
+    return S.cap_samples(B.training_samples(spark, sf), 5000, ["conv_id", "turn"]).select("conv_id", "turn", "output")
+
+
 @query("encode_tokens", TOKEN_SQL + f"select conv_id, turn, len(raw_ids) as n_tokens, "
        f"{_sql_txt('raw_ids')} as ids_text from seqs")
 def q_encode_tokens(spark, sf):
@@ -106,6 +112,15 @@ def q_holdout_split(spark, sf):
     return P.split_sequences(spark, sf, CUTOFF, VAL_SIZE, SEED).select("conv_id", "turn", "split")
 
 
+LARGE_VAL = 1_000
+
+
+@query("holdout_split_large", TOKEN_SQL.replace(f"<= {VAL_SIZE} then", f"<= {LARGE_VAL} and count(*) over () > {LARGE_VAL} then")
+       + "select conv_id, turn, split from split")
+def q_holdout_split_large(spark, sf):
+    return P.split_sequences(spark, sf, CUTOFF, LARGE_VAL, SEED).select("conv_id", "turn", "split")
+
+
 @query("pad_batches", TOKEN_SQL + f""", batched as (
   select *, cast(floor((row_number() over (order by conv_id, turn) - 1) / {PAD_BATCH}) as bigint) as batch
   from model_in),

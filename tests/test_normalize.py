@@ -101,7 +101,7 @@ def test_normalize_all_and_head_limit(spark):
     head = N.head_limit(allt, 4).collect()
     assert sorted((r.task, r.pos) for r in head) == (
         [("piqa", i) for i in range(4)] + [("winogrande", i) for i in range(3)])
-    big = N.head_limit(allt, 5000)  # dense-position path
+    big = N.head_limit(allt, 5000)
     assert big.count() == 13
     with pytest.raises(ValueError):
         N.normalize_all({"nope": piqa})

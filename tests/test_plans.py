@@ -55,20 +55,47 @@ def test_accuracy_aggregates_before_the_shuffle(spark):
     assert partial > exchange > 0  # printed top-down: the partial aggregate sits below the shuffle
 
 
-def test_head_limit_limits_each_partition_first(spark):
-    df = _hot_predictions(spark).withColumn("pos", F.col("run"))
-    plan = plan_of(N.head_limit(df.withColumn("pos", F.monotonically_increasing_id()), 10))
-    assert "WindowGroupLimit" in plan
-    assert plan.rfind("WindowGroupLimit") > plan.find("Exchange hashpartitioning")
+def _exchanged(plan: str) -> list[str]:
+    """The lines under each shuffle, with what the shuffled rows hold."""
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
 
 
-def test_token_lookup_shuffles_texts_once(spark):
+def test_head_limit_moves_no_rows_and_has_one_plan(spark):
+    import re
+    df = _hot_predictions(spark).withColumns({"pos": F.col("correct").cast("long") * 0 + F.monotonically_increasing_id(),
+                                              "payload": F.lit("x")})
+    plans = [plan_of(N.head_limit(df, n)) for n in (50, 900)]
+    for plan in plans:
+        assert shuffles_outside_broadcasts(plan) == 0  # only keys are shuffled, on the broadcast side
+        assert "WindowGroupLimit" not in plan and "BroadcastHashJoin" in plan
+    clean = [re.sub(r"#\d+L?|\b(50|900)\b|plan_id=\d+", "", p) for p in plans]
+    assert clean[0] == clean[1]
+
+
+def test_holdout_neither_sorts_nor_shuffles_rows(spark):
+    df = spark.range(5000).select(F.col("id").alias("k"), F.lit("payload").alias("text"))
+    plan = plan_of(D.holdout_split(df, 120, 42, ["k"]))
+    assert "Exchange" not in plan and "Sort" not in plan and "Scan ExistingRDD" not in plan
+
+
+def test_token_lookup_explodes_and_shuffles_nothing(spark):
     vocab = spark.createDataFrame([(t, i + 4) for i, t in enumerate(["a", "b", "c"])],
                                   "token string, id int")
     texts = spark.createDataFrame([(i, "a b c d " * (i % 5)) for i in range(50)], "k int, t string")
     plan = plan_of(D.encode_tokens(texts, "t", vocab, ["k"], out="ids"))
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "Exchange" not in plan and "Generate" not in plan and "ArrowEvalPython" in plan
+    # Unused, the lookup is pruned away.
+    assert "ArrowEvalPython" not in plan_of(D.encode_tokens(texts, "t", vocab, ["k"], out="ids").select("k"))
+
+
+def test_batches_are_laid_out_on_keys_alone(spark):
+    df = spark.range(100).select(F.col("id").alias("k"), F.array_repeat(F.lit(7), 3).alias("input_ids"),
+                                 F.array_repeat(F.lit(1), 3).alias("attention_mask"),
+                                 F.array_repeat(F.lit(7), 3).alias("labels"))
+    index = D.batch_index(df, 8, ["k"])
+    assert index.columns == ["k", "batch", "padded_length"]
+    leaves = [line for line in plan_of(index).splitlines() if "Scan ExistingRDD" in line]
+    assert leaves and all("input_ids" not in line for line in leaves)  # what was checkpointed holds no tokens
 
 
 def test_normalisation_is_narrow(spark, sf_small):
