@@ -1,4 +1,4 @@
-"""Array-valued vector arithmetic as built-in higher-order functions."""
+"""Array-valued vector arithmetic as built-in higher-order functions (H5)."""
 
 from __future__ import annotations
 
@@ -8,55 +8,6 @@ from pyspark.sql import functions as F
 from evalspark.functions.text import col_of
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    """Inner product of two equal-length double arrays."""
-    return F.aggregate(F.zip_with(col_of(a), col_of(b), lambda x, y: x * y),
-                       F.lit(0.0), lambda acc, v: acc + v)
-
-
 def l2_norm(a: Column | str) -> Column:
     """H5: Euclidean norm of a vector."""
     return F.sqrt(F.aggregate(col_of(a), F.lit(0.0), lambda acc, x: acc + x * x))
-
-
-def add(a: Column | str, b: Column | str) -> Column:
-    return F.zip_with(col_of(a), col_of(b), lambda x, y: x + y)
-
-
-def scale(a: Column | str, s: Column | float) -> Column:
-    """Multiply every element by ``s``.
-
-    A column factor (e.g. ``m / ||d||``) is repeated once per row and zipped
-    in, rather than referenced inside the lambda: the optimizer may inline
-    the factor's expression into a lambda, which would re-evaluate it for
-    every element (quadratic in the vector width).
-    """
-    arr = col_of(a)
-    if not isinstance(s, Column):
-        factor = F.lit(float(s))
-        return F.transform(arr, lambda x: x * factor)
-    return F.zip_with(arr, F.array_repeat(s, F.size(arr)), lambda x, g: x * g)
-
-
-
-def combine(rows: Column | str, coeffs: Column | str) -> Column:
-    """Linear combination sum_k coeffs[k] * rows[k] of an array of vectors.
-
-    ``rows`` is ARRAY<ARRAY<DOUBLE>> (k vectors of equal length), ``coeffs``
-    ARRAY<DOUBLE> of length k. Used for ``B·A`` one output row at a time.
-    """
-    r = col_of(rows)
-    c = col_of(coeffs)
-    width = F.size(F.element_at(r, 1))
-    return F.transform(
-        F.sequence(F.lit(0), width - 1),
-        lambda j: F.aggregate(
-            F.zip_with(r, c, lambda row, coef: row[j] * coef), F.lit(0.0), lambda acc, v: acc + v
-        ),
-    )
-
-
-def matvec(rows: Column | str, x: Column | str) -> Column:
-    """``rows · x`` for a small matrix held as ARRAY<ARRAY<DOUBLE>> (e.g. A: rank x in)."""
-    xc = col_of(x)
-    return F.transform(col_of(rows), lambda row: dot(row, xc))

@@ -8,19 +8,27 @@ Layouts:
 - A: ``module, k, a ARRAY<DOUBLE>`` (rank rows of width in_features).
 
 Weight rows are the distributed side and never shuffle; A (rank rows per
-module) and the input batch are the small, size-checked broadcast sides.
+module) and the input batch are broadcast within a checked bound, and each
+Arrow batch of weight rows meets them in one matrix product per module. Beyond
+the bound both sides are dealt out by blocks (``operators/blocks.py``).
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructField, StructType
 
 from evalspark import constants as K
-from evalspark.functions.vectors import add, combine, dot, l2_norm, matvec, scale
-from evalspark.operators.common import byte_sized_broadcast, require
+from evalspark.functions.vectors import l2_norm
+from evalspark.operators.blocks import map_blocks, matrix, vectors
+from evalspark.operators.common import require
 
 NORM_FLOOR = 1e-12
 SUPPORTED_TYPES = ("Linear", "Linear4bit")
@@ -31,33 +39,30 @@ def select_modules(modules: DataFrame, scopes: Sequence[str] = K.SCOPES,
                    type_col: str | None = None) -> DataFrame:
     """H1: modules whose name ends with any target suffix of each scope.
 
-    No join: scopes are a closed, driver-side vocabulary, so each module row
-    is fanned out to the scopes and filtered by a constant ``endswith``
-    predicate. A (model, scope) with zero matches raises, as does a matched
-    module of an unsupported (or already adapted) type.
+    One scan: scopes are a closed, driver-side vocabulary, so the scopes that
+    take a module are constant ``endswith`` predicates on its row, and a
+    model's matches are counted over its own rows (a model's inventory is a
+    few thousand rows). A (model, scope) with zero matches raises, as does a
+    matched module of an unsupported (or already adapted) type.
     """
-    fanned = modules.withColumn("scope", F.explode(F.array(*[F.lit(s) for s in scopes])))
-    cond = None
-    for scope in scopes:
-        hit = None
-        for suffix in targets[scope]:
-            e = F.col("module_name").endswith(suffix)
-            hit = e if hit is None else hit | e
-        branch = (F.col("scope") == scope) & hit
-        cond = branch if cond is None else cond | branch
-    selected = fanned.filter(cond)
+    def takes(scope: str) -> Column:
+        hits = [F.col("module_name").endswith(suffix) for suffix in targets[scope]]
+        return reduce(operator.or_, hits, F.lit(False))
+
+    taken = {f"_takes{i}": F.coalesce(takes(s), F.lit(False)) for i, s in enumerate(scopes)}
+    seen = {f"_seen{i}": F.max(f"_takes{i}").over(Window.partitionBy("model")) for i in range(len(scopes))}
+    rows = modules.withColumns(taken).withColumns(seen)
+    for i, scope in enumerate(scopes):
+        rows = require(rows, F.col(f"_seen{i}"), F.concat(
+            F.lit("no target modules for model "), F.coalesce(F.col("model").cast("string"), F.lit("NULL")),
+            F.lit(f" scope {scope}")))
+    wanted = F.filter(F.array(*[F.when(F.col(f"_takes{i}"), F.lit(s)) for i, s in enumerate(scopes)]),
+                      lambda x: x.isNotNull())
+    selected = rows.withColumn("scope", F.explode(wanted)).select(*modules.columns, "scope")
     if type_col is not None:
         selected = require(selected, F.col(type_col).isin(*SUPPORTED_TYPES), F.concat(
             F.lit("unsupported target module type: "), F.coalesce(F.col(type_col), F.lit("NULL"))))
-    # Per (model, scope) zero-match check over a small aggregate.
-    hits = selected.groupBy("model", "scope").agg(F.count(F.lit(1)).alias("_hits"))
-    pairs = modules.select("model").distinct().withColumn(
-        "scope", F.explode(F.array(*[F.lit(s) for s in scopes])))
-    checked = require(
-        pairs.join(hits, ["model", "scope"], "left"), F.col("_hits").isNotNull(),
-        F.concat(F.lit("target modules not found for model "), F.col("model"),
-                 F.lit(" scope "), F.col("scope")))
-    return selected.join(checked.select("model", "scope"), ["model", "scope"], "left_semi")
+    return selected
 
 
 def adapter_parameters(selected: DataFrame, ranks: Sequence[int],
@@ -96,10 +101,11 @@ def reconcile_names(expected: DataFrame, loaded: DataFrame,
                     keys: Sequence[str] = ("model",), name_col: str = "param_name") -> DataFrame:
     """H3: names expected but not loaded (``missing``) and loaded but not
     expected (``unexpected``), one row each; empty means the sets agree."""
-    e = expected.select(*keys, name_col).distinct().withColumn("_e", F.lit(True))
-    lo = loaded.select(*keys, name_col).distinct().withColumn("_l", F.lit(True))
-    both = e.join(lo, [*keys, name_col], "full_outer")
-    kind = F.when(F.col("_l").isNull(), "missing").when(F.col("_e").isNull(), "unexpected")
+    sides = [side.select(*keys, name_col, F.lit(i == 0).alias("_e"), F.lit(i == 1).alias("_l"))
+             for i, side in enumerate((expected, loaded))]
+    both = sides[0].unionByName(sides[1]).groupBy(*keys, name_col).agg(
+        F.max("_e").alias("_e"), F.max("_l").alias("_l"))  # pre-aggregated before the one shuffle
+    kind = F.when(~F.col("_l"), "missing").when(~F.col("_e"), "unexpected")
     return both.withColumn("kind", kind).filter(F.col("kind").isNotNull()).drop("_e", "_l")
 
 
@@ -114,84 +120,157 @@ def row_magnitude(weights: DataFrame, w_col: str = "w", out: str = "magnitude")
     return weights.withColumn(out, l2_norm(w_col))
 
 
-def _a_by_module(a_rows: DataFrame) -> DataFrame:
-    """A as one row per module: ARRAY<ARRAY<DOUBLE>> ordered by k (rank rows)."""
-    grouped = a_rows.groupBy("module").agg(
-        F.array_sort(F.collect_list(F.struct("k", "a"))).alias("_s"))
-    return byte_sized_broadcast(grouped.select(
-        "module", F.transform("_s", lambda s: s["a"]).alias("_A")), ["_A"])
+def _scaling(alpha: float, rank: int) -> float:
+    if rank <= 0:
+        raise ValueError(f"rank {rank} is not positive")
+    return float(alpha) / float(rank)
+
+
+def _low_rank(module, rows: pa.Table, a: pa.Table, s: float) -> np.ndarray:
+    """``s * B A`` of a block of rows."""
+    if not a.num_rows:
+        raise ValueError(f"no rows of A for module {module}")
+    b_rows, a_rows = matrix(rows.column("b")), matrix(a.sort_by("k").column("a"))
+    if b_rows.shape[1] != len(a_rows):
+        raise ValueError(f"module {module}: rows of B have {b_rows.shape[1]} entries, A has {len(a_rows)} rows")
+    return s * (b_rows @ a_rows)
+
+
+def _magnitudes(module, rows: pa.Table, m_col: str, merged: np.ndarray) -> np.ndarray:
+    m = rows.column(m_col)
+    if m.null_count:
+        raise ValueError(f"a row of module {module} has no magnitude")
+    return m.to_numpy().astype(np.float64) / np.maximum(np.linalg.norm(merged, axis=1), NORM_FLOOR)
+
+
+def _bias(rows: pa.Table) -> np.ndarray | float:
+    if "bias" not in rows.column_names:
+        return 0.0
+    return rows.column("bias").to_numpy().astype(np.float64)
 
 
-def _matched(joined: DataFrame, col: str, what: str) -> DataFrame:
-    """Rows of a left join on ``module``; one without a partner fails the job
-    instead of dropping out."""
-    return require(joined, F.col(col).isNotNull(), F.concat(
-        F.lit(f"no {what} for module "),
-        F.coalesce(F.col("module").cast("string"), F.lit("NULL"))))
+def _with_rows(weights: DataFrame, a_rows: DataFrame, out: str, kind: DataType, values) -> DataFrame:
+    """``weights`` with a column made from each block of rows and its A."""
+    names = weights.columns
+
+    def block(module, rows: pa.Table, a: pa.Table) -> pa.Table:
+        return rows.select(names).append_column(out, values(module, rows, a))
+
+    schema = StructType([*weights.schema.fields, StructField(out, kind)])
+    spread = [c for c, t in weights.dtypes if not t.startswith(("array", "map"))]
+    return map_blocks(weights, a_rows.select("module", "k", "a"), "module", ["a"], block, schema, spread, whole=True)
 
 
 def lowrank_delta(weights: DataFrame, a_rows: DataFrame, alpha: float, rank: int,
                   out: str = "delta") -> DataFrame:
-    """H6: row i of ``B·A · alpha/rank``; rank <= 0 is an error."""
-    if rank <= 0:
-        raise ValueError("adapter rank must be positive")
-    s = float(alpha) / float(rank)
-    joined = _matched(weights.join(_a_by_module(a_rows), "module", "left"), "_A", "rows of A")
-    return joined.withColumn(out, scale(combine("_A", "b"), s)).drop("_A")
+    """H6: row i of ``B·A · alpha/rank``, one matrix product per block of rows;
+    rank <= 0 is an error, as is a module without rows of A."""
+    s = _scaling(alpha, rank)
+    return _with_rows(weights, a_rows, out, ArrayType(DoubleType()),
+                      lambda module, rows, a: vectors(_low_rank(module, rows, a, s)))
 
 
 def merge_lora(weights: DataFrame, a_rows: DataFrame, alpha: float, rank: int) -> DataFrame:
     """H7: merged row ``w + delta``."""
-    d = lowrank_delta(weights, a_rows, alpha, rank)
-    return d.withColumn("merged", add("w", "delta")).drop("delta")
+    s = _scaling(alpha, rank)
+    return _with_rows(weights, a_rows, "merged", ArrayType(DoubleType()),
+                      lambda module, rows, a: vectors(matrix(rows.column("w")) + _low_rank(module, rows, a, s)))
 
 
 def merge_dora(weights: DataFrame, a_rows: DataFrame, alpha: float, rank: int,
                m_col: str = "m") -> DataFrame:
-    """H8: ``d = w + delta``; merged row ``d * m / max(||d||, 1e-12)``."""
-    d = lowrank_delta(weights, a_rows, alpha, rank)
-    d = d.withColumn("_d", add("w", "delta")).drop("delta")
-    g = F.col(m_col) / F.greatest(l2_norm("_d"), F.lit(NORM_FLOOR))
-    return d.withColumn("merged", scale("_d", g)).drop("_d")
+    """H8: ``d = w + delta``; merged row ``d * m / max(||d||, 1e-12)``. A row
+    without magnitude fails the job."""
+    s = _scaling(alpha, rank)
+
+    def merged(module, rows, a):
+        d = matrix(rows.column("w")) + _low_rank(module, rows, a, s)
+        return vectors(d * _magnitudes(module, rows, m_col, d)[:, None])
+
+    return _with_rows(weights, a_rows, "merged", ArrayType(DoubleType()), merged)
 
 
 def _with_ax(x: DataFrame, a_rows: DataFrame) -> DataFrame:
-    """A·x once per input vector (rank-sized), before meeting the weight rows."""
-    joined = _matched(x.join(_a_by_module(a_rows), "module", "left"), "_A", "rows of A")
-    return joined.withColumn("_ax", matvec("_A", "x")).drop("_A")
+    """A·x once per input vector (rank-sized), before it meets the weight rows."""
+    def values(module, rows, a):
+        if not a.num_rows:
+            raise ValueError(f"no rows of A for module {module}")
+        return vectors(matrix(rows.column("x")) @ matrix(a.sort_by("k").column("a")).T)
+
+    return _with_rows(x, a_rows, "_ax", ArrayType(DoubleType()), values)
+
+
+def _projected(x: DataFrame, rows: DataFrame, arrays: Sequence[str], product) -> DataFrame:
+    """One row per (module, input, block of rows): ``row_idx`` and ``y`` as
+    arrays; ``product(rows, inputs)`` gives the matrix input by row."""
+    def block(module, part: pa.Table, xs: pa.Table) -> pa.Table | None:
+        if not xs.num_rows:
+            return None
+        y = product(part, xs)
+        n, index = part.num_rows, part.column("row_idx").combine_chunks()
+        every = pa.ListArray.from_arrays(pa.array(np.arange(xs.num_rows + 1) * n, pa.int32()),
+                                         pa.concat_arrays([index] * xs.num_rows))
+        return pa.table({"module": pa.array([module] * xs.num_rows, part.schema.field("module").type),
+                         "x_id": xs.column("x_id"), "row_idx": every, "y": vectors(y)})
+
+    kinds = {"module": rows.schema["module"].dataType, "x_id": x.schema["x_id"].dataType,
+             "row_idx": ArrayType(rows.schema["row_idx"].dataType), "y": ArrayType(DoubleType())}
+    schema = StructType([StructField(c, t) for c, t in kinds.items()])
+    return map_blocks(rows, x.select("module", "x_id", *arrays), "module", arrays, block, schema, ["row_idx"])
+
+
+def _by_row(blocks: DataFrame) -> DataFrame:
+    return blocks.select("module", "x_id", F.explode(F.arrays_zip("row_idx", "y")).alias("_p")).select(
+        "module", "x_id", "_p.row_idx", "_p.y")
+
+
+def project_lora_blocks(x: DataFrame, weights: DataFrame, a_rows: DataFrame, alpha: float, rank: int) -> DataFrame:
+    """H9 with one output array per (input, block of rows): ``module``,
+    ``x_id``, ``row_idx`` and ``y`` (arrays of equal length)."""
+    s = _scaling(alpha, rank)
+
+    def product(rows, xs):
+        low = matrix(xs.column("_ax")) @ matrix(rows.column("b")).T
+        return matrix(xs.column("x")) @ matrix(rows.column("w")).T + _bias(rows) + s * low
+
+    return _projected(_with_ax(x, a_rows), weights, ["x", "_ax"], product)
 
 
 def project_lora(x: DataFrame, weights: DataFrame, a_rows: DataFrame, alpha: float,
                  rank: int) -> DataFrame:
     """H9: ``y_i = w_i·x + bias_i + s * b_i·(A x)`` per (input, output row)
-    (dropout off). The input batch is the broadcast side."""
-    s = float(alpha) / float(rank)
-    xa = byte_sized_broadcast(_with_ax(x, a_rows), ["x", "_ax"])
-    bias = F.col("bias") if "bias" in weights.columns else F.lit(0.0)
-    joined = weights.join(xa, "module")
-    y = dot("w", "x") + bias + F.lit(s) * dot("b", "_ax")
-    return joined.select("module", "x_id", "row_idx", y.alias("y"))
+    (dropout off)."""
+    return _by_row(project_lora_blocks(x, weights, a_rows, alpha, rank))
+
+
+def project_dora_blocks(x: DataFrame, weights: DataFrame, a_rows: DataFrame, alpha: float, rank: int,
+                        m_col: str = "m") -> DataFrame:
+    """H10 with one output array per (input, block of rows)."""
+    s = _scaling(alpha, rank)
+
+    def gains(module, rows, a):
+        d = matrix(rows.column("w")) + _low_rank(module, rows, a, s)
+        return pa.array(_magnitudes(module, rows, m_col, d))
+
+    def product(rows, xs):
+        bias, g = _bias(rows), rows.column("_g").to_numpy()
+        base = matrix(xs.column("x")) @ matrix(rows.column("w")).T + bias
+        low = matrix(xs.column("_ax")) @ matrix(rows.column("b")).T
+        return base + (g - 1) * (base - bias) + g * s * low
+
+    return _projected(_with_ax(x, a_rows), _with_rows(weights, a_rows, "_g", DoubleType(), gains), ["x", "_ax"], product)
 
 
 def project_dora(x: DataFrame, weights: DataFrame, a_rows: DataFrame, alpha: float,
                  rank: int, m_col: str = "m") -> DataFrame:
     """``y + (g-1)(y - bias) + g * s * b_i·(A x)`` with
     ``g = m_i / max(||w_i + delta_i||, 1e-12)``; equals projecting with H8 rows."""
-    s = float(alpha) / float(rank)
-    with_delta = lowrank_delta(weights, a_rows, alpha, rank)
-    g = F.col(m_col) / F.greatest(l2_norm(add("w", "delta")), F.lit(NORM_FLOOR))
-    rows = with_delta.withColumn("_g", g).drop("delta")
-    xa = byte_sized_broadcast(_with_ax(x, a_rows), ["x", "_ax"])
-    bias = F.col("bias") if "bias" in weights.columns else F.lit(0.0)
-    joined = rows.join(xa, "module")
-    base = dot("w", "x") + bias
-    extra = (F.col("_g") - 1) * (base - bias) + F.col("_g") * F.lit(s) * dot("b", "_ax")
-    return joined.select("module", "x_id", "row_idx", (base + extra).alias("y"))
+    return _by_row(project_dora_blocks(x, weights, a_rows, alpha, rank, m_col))
 
 
 def project_rows(x: DataFrame, rows: DataFrame, row_col: str = "merged") -> DataFrame:
     """Plain ``row·x + bias`` with already merged rows (the H8/H7 fast path)."""
-    xb = byte_sized_broadcast(x, ["x"])
-    bias = F.col("bias") if "bias" in rows.columns else F.lit(0.0)
-    return rows.join(xb, "module").select("module", "x_id", "row_idx",
-                                          (dot(row_col, "x") + bias).alias("y"))
+    def product(part, xs):
+        return matrix(xs.column("x")) @ matrix(part.column(row_col)).T + _bias(part)
+
+    return _by_row(_projected(x, rows, ["x"], product))

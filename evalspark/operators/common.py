@@ -39,30 +39,18 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataF
     return F.broadcast(df) if n <= max_rows else df
 
 
-def byte_sized_broadcast(df: DataFrame, array_cols: Sequence[str],
-                         max_bytes: int | None = None,
-                         bytes_per_element: int = 8) -> DataFrame:
-    """Broadcast ``df`` only if its array payload is at most ``max_bytes``.
-
-    Rows that carry vectors make a row count meaningless as a size bound, so
-    the bound is the summed array length (nested arrays flattened) times the
-    element width, from one small aggregate. Beyond it the caller's join
-    stays a shuffle join.
-    """
+def array_bytes(df: DataFrame, array_cols: Sequence[str], bytes_per_element: int = 8) -> int:
+    """Bytes that the arrays of a table hold (nested ones flattened), from one
+    small aggregate. Rows that carry vectors make a row count meaningless as a
+    size bound."""
     def elements(c: str) -> Column:
-        dtype = dict(df.dtypes)[c]
         col = F.col(c)
-        if dtype.startswith("array<array<"):
+        if dict(df.dtypes)[c].startswith("array<array<"):
             return F.aggregate(col, F.lit(0).cast("long"), lambda acc, a: acc + F.size(a))
         return F.size(col).cast("long")
 
-    total = None
-    for c in array_cols:
-        e = elements(c)
-        total = e if total is None else total + e
-    limit = BROADCAST_BYTE_LIMIT if max_bytes is None else max_bytes
-    got = df.agg(F.coalesce(F.sum(total), F.lit(0)).alias("n")).first()["n"]
-    return F.broadcast(df) if got * bytes_per_element <= limit else df
+    total = sum((F.coalesce(F.sum(elements(c)), F.lit(0)) for c in array_cols), F.lit(0))
+    return df.agg(total.alias("n")).first()["n"] * bytes_per_element
 
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str,

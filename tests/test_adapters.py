@@ -139,6 +139,65 @@ def test_manifest_and_reconcile(spark):
         H.require_reconciled(H.reconcile_names(dora, lora)).collect()
 
 
+def _many(spark, rows=300, inputs=40, rank=3, width=5, seed=1):
+    """A module with a third of all rows among several small ones."""
+    r = np.random.default_rng(seed)
+    modules = ["hot" if i % 3 == 0 else f"m{i % 4}" for i in range(rows)]
+    vec = lambda n: r.standard_normal(n).round(3).tolist()
+    w = [(m, i, vec(width), vec(rank), float(i % 5), float(1 + i % 3)) for i, m in enumerate(modules)]
+    a = [(m, k, vec(width)) for m in sorted(set(modules)) for k in range(rank)]
+    x = [("hot" if j % 3 == 0 else f"m{j % 4}", j, vec(width)) for j in range(inputs)]
+    return (w, a, x), (
+        spark.createDataFrame(w, "module string, row_idx int, w array<double>, b array<double>, bias double, m double"),
+        spark.createDataFrame(a, "module string, k int, a array<double>").repartition(5),
+        spark.createDataFrame(x, "module string, x_id long, x array<double>"))
+
+
+@pytest.mark.parametrize("bound", [1 << 28, 8])
+def test_products_over_many_modules(spark, monkeypatch, bound):
+    from evalspark.operators import blocks, common
+    monkeypatch.setattr(common, "BROADCAST_BYTE_LIMIT", bound)
+    monkeypatch.setattr(blocks, "ROW_BLOCK", 16)
+    monkeypatch.setattr(blocks, "MATRIX_BLOCK", 4)
+    (w, a, x), (wt, at, xt) = _many(spark)
+    s, mats = 4 / 3, {}
+    for m, k, v in sorted(a):
+        mats.setdefault(m, []).append(v)
+    want, dora = {}, {}
+    for m, i, wv, bv, bias, mag in w:
+        d = s * np.array(bv) @ np.array(mats[m])
+        g = mag / np.linalg.norm(np.array(wv) + d)
+        for mx, j, xv in x:
+            if mx == m:
+                base = np.dot(wv, xv) + bias
+                low = s * np.dot(bv, np.array(mats[m]) @ xv)
+                want[j, i] = base + low
+                dora[j, i] = base + (g - 1) * (base - bias) + g * low
+    for got, exact in ((H.project_lora(xt, wt, at, 4, 3), want), (H.project_dora(xt, wt, at, 4, 3), dora)):
+        y = _y(got)
+        assert y.keys() == exact.keys() and all(y[k] == pytest.approx(v, abs=1e-9) for k, v in exact.items())
+    plan = H.project_lora(xt, wt, at, 4, 3)._jdf.queryExecution().executedPlan().toString()
+    assert ("FlatMapCoGroupsInArrow" in plan) == (bound == 8)
+    merged = {r["row_idx"]: r["merged"] for r in H.merge_lora(wt, at, 4, 3).collect()}
+    assert len(merged) == len(w)
+    for m, i, wv, bv, _, _ in w:
+        assert merged[i] == pytest.approx(np.array(wv) + s * np.array(bv) @ np.array(mats[m]), abs=1e-9)
+    per_block = H.project_lora_blocks(xt, wt, at, 4, 3).collect()
+    assert all(len(r["row_idx"]) == len(r["y"]) for r in per_block) and len(per_block) < len(want)
+
+
+def test_vectors_that_do_not_fit_fail(spark):
+    w, a, x = _tables(spark)
+    with pytest.raises(JOB_ERRORS):
+        H.lowrank_delta(w.withColumn("b", F.array(F.lit(1.0))), a, 2, 1).collect()
+    with pytest.raises(JOB_ERRORS):
+        H.merge_dora(w.withColumn("m", F.lit(None).cast("double")), a, 2, 1).collect()
+    with pytest.raises(JOB_ERRORS):
+        H.lowrank_delta(w.withColumn("module", F.lit(None).cast("string")), a, 2, 1).collect()
+    assert H.project_lora(x.limit(0), w, a, 2, 1).count() == 0
+    assert H.merge_lora(w.limit(0), a, 2, 1).count() == 0
+
+
 def test_projection_without_broadcast_matches(spark, monkeypatch):
     from evalspark.operators import common
     w, a, x = _tables(spark)
@@ -148,6 +207,7 @@ def test_projection_without_broadcast_matches(spark, monkeypatch):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
     big = _y(df)
+    assert big.keys() == small.keys()
     for key, v in small.items():
         assert big[key] == pytest.approx(v, abs=1e-12)
 

@@ -109,10 +109,13 @@ def test_projection_never_shuffles_weight_rows(spark, sf_small):
     y = H.project_dora(B.input_batch(spark, sf_small), B.weight_rows(spark, sf_small),
                        B.a_rows(spark, sf_small), B.ADAPTER_ALPHA, B.ADAPTER_RANK)
     plan = plan_of(y)
-    # Building A per module shuffles only the (small, pre-limited) broadcast side.
-    assert shuffles_outside_broadcasts(plan) == 0
-    assert "SortMergeJoin" not in plan and "NestedLoopJoin" not in plan
-    assert "BroadcastHashJoin" in plan
+    # A and the inputs are broadcast values: weight rows are mapped where they are.
+    assert "Exchange" not in plan and "Join" not in plan and "MapInArrow" in plan
+
+
+def test_selecting_modules_scans_the_inventory_once(spark, sf_small):
+    plan = plan_of(H.select_modules(B.modules(spark, sf_small)))
+    assert plan.count("FileScan") == 1 and "Join" not in plan
 
 
 def test_no_registered_query_uses_a_nested_loop_join(spark):
