@@ -19,14 +19,15 @@ def require(df: DataFrame, ok: Column, message: Column | str) -> DataFrame:
 
     The check is a filter predicate (``assert_true`` returns NULL when it
     holds), so column pruning cannot drop it the way it drops an unused
-    ``raise_error`` column. The always-true draw beside it makes the predicate
-    nondeterministic: the optimiser then neither merges a later filter into it
-    (``scope = 'full'`` would be assumed inside the check, which would fail on
-    every other valid row) nor moves one below it. Filters that should reach
-    the scan go before the check.
+    ``raise_error`` column. The partition's number, which never decides, makes
+    the checked condition itself nondeterministic (a comparison of ``rand()``
+    with its bounds is simplified away): the optimiser then neither merges a
+    later filter into it (``scope = 'full'`` would be assumed inside the check,
+    which would fail on every other valid row) nor moves either past the other.
+    Filters that should reach the scan go before the check.
     """
     msg = F.lit(message) if isinstance(message, str) else message
-    return df.filter(F.assert_true(ok, msg).isNull() & (F.rand(0) >= 0))
+    return df.filter(F.assert_true((F.spark_partition_id() < 0) | ok, msg).isNull())
 
 
 # Byte bound for broadcasting array-valued sides (vectors, matrices).

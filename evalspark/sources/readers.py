@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from evalspark import constants as K
 from evalspark.functions.text import as_text
-from evalspark.operators.common import dense_position, require
+from evalspark.operators.common import require
+from evalspark.sources.places import array_objects, placed, scanned
 
 TRAINING_SCHEMA = "instruction string, input string, output string"
 SAMPLE_SCHEMA = ("id string, task string, instruction string, choices array<string>, "
@@ -28,18 +29,13 @@ def read_training_json(spark: SparkSession, path: str) -> DataFrame:
     ``pos`` is the place over all files in path order. Extra keys are dropped
     by the schema; scalars arrive as strings; ``input`` defaults to ''. A row
     without ``instruction`` or ``output`` fails the job, whichever columns are
-    used. One array file is one split (not splittable): convert big inputs
-    once to JSONL/Parquet.
+    used. A big array file is read by many tasks (``places.array_objects``).
     """
-    raw = spark.read.schema(TRAINING_SCHEMA).option("multiLine", True).option(
-        "mode", "FAILFAST").json(path)
+    raw = array_objects(spark, path).select(
+        "pos", F.from_json("json", TRAINING_SCHEMA, {"mode": "FAILFAST"}).alias("r")).select("pos", "r.*")
     for c in ("instruction", "output"):
         raw = require(raw, F.col(c).isNotNull(), f"training row: required field '{c}' is missing")
-    placed = dense_position(
-        raw.select("*", F.col("_metadata.file_path").alias("_f"),
-                   F.monotonically_increasing_id().alias("_m")), ["_f", "_m"], out="pos")
-    return placed.select("pos", "instruction",
-                         F.coalesce(F.col("input"), F.lit("")).alias("input"), "output")
+    return raw.select("pos", "instruction", F.coalesce(F.col("input"), F.lit("")).alias("input"), "output")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType,
@@ -48,42 +44,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType,
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
-def _has_positions(spark: SparkSession, path: str) -> bool:
-    """Whether the records carry ``pos``, told from the first line."""
-    first = spark.read.text(path).filter(F.trim("value") != "").first()
-    return first is not None and "pos" in json.loads(first["value"])
-
-
-def _with_line_positions(spark: SparkSession, path: str) -> DataFrame:
-    """Sample records with their place in their own file as ``pos``."""
-    raw = read_jsonl(spark, path, SAMPLE_SCHEMA).drop("pos")
-    lines = raw.select("*", F.col("_metadata.file_path").alias("_f"),
-                       F.col("_metadata.file_block_start").alias("_b"),
-                       F.monotonically_increasing_id().alias("_m"))
-    return dense_position(lines, ["_b", "_m"], ["_f"], out="pos").drop("_f", "_b", "_m")
-
-
 def read_eval_samples(spark: SparkSession, path: str, limit: int | None = None,
                       tasks: Sequence[str] | None = None) -> DataFrame:
     """A3: normalised sample JSONL -> EvalSample (all fields as text), then a
     per-task head limit in source order.
 
-    Records without ``pos`` get their line's place in its file. ``tasks``
-    keeps those tasks; where the folder has one part per task, only their
-    files are read.
+    A record without ``pos`` has its line's place in its file (blank lines
+    don't count); one with it keeps it. ``tasks`` keeps those tasks; where the
+    folder has one part per task, only their files are read.
     """
     from evalspark.operators.normalize import head_limit
 
-    raw = (read_jsonl(spark, path, SAMPLE_SCHEMA) if _has_positions(spark, path)
-           else _with_line_positions(spark, path))
+    lines = spark.read.text(path)
+    if tasks is not None and "_part" in lines.columns:
+        lines = lines.filter(F.col("_part").isin(*tasks))
+    lines = placed(scanned(lines.filter(F.trim("value") != "")), per_file=True, out="_line")
+    raw = lines.select("_line", F.from_json("value", SAMPLE_SCHEMA, {"mode": "FAILFAST"}).alias("r")).select(
+        "r.*", "_line")
     if tasks is not None:
         raw = raw.filter(F.col("task").isin(*tasks))
-        if "_part" in raw.columns:
-            raw = raw.filter(F.col("_part").isin(*tasks))
     samples = raw.select(
         "id", "task", "instruction",
         F.transform(F.col("choices"), lambda c: as_text(c)).alias("choices"),
-        "label", "pos")
+        "label", F.coalesce("pos", "_line").alias("pos"))
     return head_limit(samples, limit)
 
 
@@ -91,18 +74,12 @@ def lines_with_position(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their exact 0-based position across the file(s) in
     path order: (pos BIGINT, line STRING).
 
-    DataFrames carry no line numbers, but every row knows its file and split
-    (``_metadata.file_path``, ``file_block_start``) and rows of a split come
-    in file order, so (file, split start, scan order) is the line order.
-    Dense positions over that key are computed without a single-task funnel
-    and without leaving the JVM.
+    Every row knows its file and split and rows of a split come in file order,
+    so a line's place is the lines of the splits before plus its own number in
+    its split: only a count per split is summed, and lines stay where they are
+    (``places.placed``).
     """
-    text = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("_f"),
-        F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_m"),
-        F.col("value").alias("line"))
-    return dense_position(text, ["_f", "_b", "_m"], out="pos").select("pos", "line")
+    return placed(scanned(spark.read.text(path).withColumnRenamed("value", "line"))).select("pos", "line")
 
 
 def zip_labels(spark: SparkSession, records_path: str, labels_path: str,
