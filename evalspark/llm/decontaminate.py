@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import as_bytes, written
+from evalspark.llm.common import as_bytes, quoted, written
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20  # benchmark text in one automaton
@@ -34,9 +34,21 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+SINGLES, TRAILS = 1_000_000, 50_000  # words written as one character; second characters of the others
+
+
 def _letter(i: int) -> str:
-    code = _FIRST + i
-    return chr(code if code < _SURROGATES.start else code + len(_SURROGATES))
+    """The character of word ``i``, or for words beyond ``SINGLES`` two: one
+    that only begins a pair and one that only ends one, so that no match can
+    begin or end inside a word."""
+    def char(k: int) -> str:
+        code = _FIRST + k
+        return chr(code if code < _SURROGATES.start else code + len(_SURROGATES))
+
+    if i < SINGLES:
+        return char(i)
+    lead, trail = divmod(i - SINGLES, TRAILS)
+    return char(SINGLES + TRAILS + lead) + char(SINGLES + trail)
 
 
 class Matcher:
@@ -45,18 +57,22 @@ class Matcher:
     def __init__(self, items: list[tuple], window: int):
         self.letters: dict[bytes, str] = {}
         owners: dict[str, set] = {}
+        sizes: dict[str, int] = {}
         for item, text in items:
             ws = words(text)
             for w in ws:
                 if w not in self.letters:
                     self.letters[w] = _letter(len(self.letters))
-            line = "".join(self.letters[w] for w in ws)
+            line = [self.letters[w] for w in ws]
             size = min(window, len(line))
             for i in range(len(line) - size + 1 if size else 0):
-                owners.setdefault(line[i:i + size], set()).add(item)
+                key = "".join(line[i:i + size])
+                owners.setdefault(key, set()).add(item)
+                sizes[key] = size
+        self.pairs = len(self.letters) > SINGLES
         self.automaton = ahocorasick.Automaton()
         for key, who in owners.items():
-            self.automaton.add_word(key, (len(key), who))
+            self.automaton.add_word(key, (sizes[key], who))
         self.empty = not owners
         if owners:
             self.automaton.make_automaton()
@@ -66,10 +82,13 @@ class Matcher:
         if self.empty:
             return [], set()
         get = self.letters.get
-        line = "".join([get(w, _OTHER) for w in ws])
+        line = [get(w, _OTHER) for w in ws]
+        # Word of each character, where words may have two.
+        owner_of = [i for i, c in enumerate(line) for _ in c] if self.pairs else range(len(line))
         found, who = [], set()
-        for end, (size, owner) in self.automaton.iter(line):
-            found.append((end + 1 - size, end + 1))
+        for end, (size, owner) in self.automaton.iter("".join(line)):
+            last = owner_of[end]
+            found.append((last + 1 - size, last + 1))
             who |= owner
         return merged(found), who
 
@@ -114,12 +133,13 @@ def _scan(items, key: str, window: int):
 def _benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
     """Lists of (item, text) of at most about ``block_bytes`` each. One block
     is on the driver at a time; its size is checked before it is fetched."""
-    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("binary").alias("t"))
+    rows = benchmark.select(quoted(item_col).alias("item"), quoted(text_col).cast("binary").alias("t"))
     rows = rows.filter(F.col("t").isNotNull()).distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // block_bytes))
     for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
+        # By text and id: one text under very many ids is dealt out as well.
+        part = rows.filter(F.pmod(F.xxhash64("t", F.col("item").cast("string")), F.lit(n)) == k)
         yield [(r["item"], bytes(r["t"])) for r in part.orderBy("item", "t").collect()]
 
 
@@ -140,8 +160,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item; repeated rows are answered each; an empty benchmark hits nothing.
     """
     state = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"),
-        *([F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []),
+        quoted(id_col).alias("doc_id"), quoted(text_col).cast("binary").alias("text"),
+        *([F.struct(*map(quoted, keep)).alias("row")] if keep else []),
         F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("runs"),
         F.array().cast("array<string>").alias("items"))
     sc = docs.sparkSession.sparkContext

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.common import quoted, whole_row
 from evalspark.operators.common import dense_position, sized_broadcast
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -66,31 +67,54 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2),
     return shares.select("source", "source_size", target.alias("target"))
 
 
+def _draws(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds ``draw`` in [0, 1) to rows with ``id`` and ``text``: fixed by the id
+    where a row has one of its own, else by id, text and the row's place in
+    the scan, so that rows without id and rows of one id draw apart."""
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and id is not null")
+    again = sized_broadcast(again.select(F.col("id").alias("again")))
+    placed = rows.withColumn("at", F.monotonically_increasing_id())
+    own = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")),
+                      F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")), F.col("at").cast("string"))
+    shared = F.col("id").isNull() | F.col("again").isNotNull()
+    draw = F.when(shared, hash_uniform(own, seed)).otherwise(hash_uniform(F.col("id"), seed))
+    return placed.join(again, F.col("id") == F.col("again"), "left").withColumn("draw", draw).drop("at", "again")
+
+
+def _with_rates(rows: DataFrame, weights, budget: float, ceiling: float) -> DataFrame:
+    """Adds ``source_size``, ``target`` and ``rate`` to rows with ``source`` and
+    ``size``. Source totals are summed map side before the shuffle; they are
+    broadcast only if they are few (checked), else joined by shuffle, where
+    Spark splits a hot source."""
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = sized_broadcast(source_targets(totals, weights, budget, ceiling).withColumnRenamed("source", "of_source"),
+                              max_rows=100_000)
+    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
+    return joined.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+
+
+def _copies() -> Column:
+    whole = F.floor("rate")
+    return (whole + (F.col("draw") < F.col("rate") - whole).cast("long")).cast("long")
+
+
 def mixture_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  source_col: str = "source", weights: Sequence[float] = (3, 1, 2),
                  budget: float = 1.5, ceiling: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per document: its id, ``size``, ``source_size``, ``target`` and
-    ``copies`` (how often the mix takes it, at most ``ceil(ceiling)``).
+    """One row per document: its id, ``source``, ``size``, ``source_size``,
+    ``target`` and ``copies`` (how often the mix takes it, at most
+    ``ceil(ceiling)``).
 
     Defined cases: a null or empty text has size 0; a null source is a source
-    of its own, last in order; repeated rows share the draw of their id, and
-    so do rows without an id; an empty table gives an empty plan. Other
-    columns of ``docs`` are not looked at. The source totals are summed map
-    side before the shuffle; they are broadcast only if they are few
-    (checked), else joined by shuffle, where Spark splits a hot source.
+    of its own, last in order; rows without an id, and rows that share one,
+    draw each for itself (from their text and place, so reruns over the same
+    files agree); an empty table gives an empty plan. Other columns of
+    ``docs`` are not looked at.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                        word_count(F.col(text_col)).alias("size"))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = sized_broadcast(
-        source_targets(totals, weights, budget, ceiling)
-        .withColumnRenamed("source", "_source"), max_rows=100_000)
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(rate)
-    extra = (hash_uniform(F.col("doc_id"), seed) < rate - whole).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target",
-                         (whole + extra).cast("long").alias("copies"))
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(source_col).alias("source"))
+    sized = _draws(rows, seed).withColumn("size", word_count(F.col("text"))).drop("text")
+    return _with_rates(sized, weights, budget, ceiling).select(
+        F.col("id").alias("doc_id"), "source", "size", "source_size", "target", _copies().alias("copies"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -99,17 +123,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix itself: every document as often as the plan takes it, with the
     columns of ``docs`` unchanged. The texts move through no shuffle: the copy
     count is computed on the row itself, from the few source targets."""
-    word = word_count(F.col(text_col))
-    totals = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(word).alias("source_size"))
-    rates = source_targets(totals, weights, budget, ceiling).select(
-        F.col("source").alias("__mix_source"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
-        .otherwise(0.0).alias("__mix_rate"))
-    rates = sized_broadcast(rates, max_rows=100_000)
-    rate = F.col("__mix_rate")
-    extra = (hash_uniform(docs[id_col], seed) < rate - F.floor(rate)).cast("int")
-    copies = (F.floor(rate).cast("int") + extra)
-    joined = docs.join(rates, docs[source_col].eqNullSafe(F.col("__mix_source")), "left")
-    emitted = joined.withColumn("__mix_copies", F.array_repeat(F.lit(True), copies))
-    return (emitted.withColumn("__mix_copy", F.explode("__mix_copies"))
-            .select(*[emitted[c] for c in docs.columns]))
+    rows = docs.select(whole_row(docs).alias("row"), quoted(id_col).alias("id"), quoted(text_col).alias("text"),
+                       quoted(source_col).alias("source")).withColumn("size", word_count(F.col("text")))
+    planned = _with_rates(_draws(rows, seed), weights, budget, ceiling)
+    return planned.select("row", F.explode(F.array_repeat(F.lit(True), _copies().cast("int"))).alias("copy")).select("row.*")

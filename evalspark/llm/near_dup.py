@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import as_bytes, written
+from evalspark.llm.common import as_bytes, quoted, whole_row, written
 from evalspark.llm.components import components
 from evalspark.llm.words import mix, shingle_sets
 
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal id are marked alike; null ids stand behind all others; an empty
     table gives no rows. Only the two named columns are read.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    source = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("binary").alias("t"))
     kind = source.schema["doc_id"].dataType.simpleString()
     rows = written(source.mapInArrow(
         _sketches, f"doc_id {kind}, n_shingles bigint, cls binary, registers binary"), "sketches")
@@ -271,8 +271,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          percent: int = 85) -> DataFrame:
-    """The documents, columns unchanged, that stand for their group: those of
-    the smallest id. Rows of equal id are one document and stay together."""
-    kept = (near_duplicates(docs, id_col, text_col, percent).filter("kept")
-            .select(F.col("doc_id").alias("__kept_id")).distinct())
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The documents, columns unchanged, of which one stands for each group:
+    that of the smallest id (rows without id stand behind all others).
+
+    Rows are told apart by a written key, so of rows that share an id, or have
+    none, one alone stays if they are near copies, and all stay if they aren't.
+    """
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("at"), whole_row(docs).alias("row")), "rows")
+    of_row = lambda name: F.col("row").getField(name)
+    numbered = keyed.select(
+        F.struct(of_row(id_col).isNull().alias("last"), of_row(id_col).alias("id"), "at").alias("key"),
+        of_row(text_col).alias("t"))
+    kept = near_duplicates(numbered, "key", "t", percent).filter("kept").select(F.col("doc_id.at").alias("at"))
+    return keyed.join(kept, "at", "left_semi").select("row.*")
