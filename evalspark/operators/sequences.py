@@ -195,7 +195,7 @@ def accumulation_steps(effective: Column | str, per_device: Column | str) -> Col
     """Effective / per-device batch; not divisible raises."""
     e, p = col_of(effective), col_of(per_device)
     return F.when(e % p == 0, (e / p).cast("long")).otherwise(
-        F.raise_error(F.lit("effective_batch_size must be divisible by per_device_batch_size"))
+        F.raise_error(F.lit("the effective batch isn't a whole number of device batches"))
         .cast("long"))
 
 

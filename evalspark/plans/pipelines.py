@@ -43,10 +43,11 @@ class Analysis:
 
 
 def analysis(spark: SparkSession, sf_dir: str, cache: bool = True) -> Analysis:
-    """The comparison flow; the gains table feeds four consumers, so it is
+    """The comparison flow. The gains carry both macros, so everything behind
+    them comes from one accuracy aggregate; they feed four consumers and are
     cached (tiny: one row per scope)."""
     runs = run_rows(spark, sf_dir)
-    gains = compare.paired_gains(runs)
+    gains = compare.paired_gains(runs, macros=True)
     if cache:
         runs = runs.cache()
         gains = gains.cache()

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from evalspark import constants as K
 from evalspark.operators import compare
+from evalspark.plans import bindings as B
 from evalspark.plans import pipelines as P
 from evalspark.plans.registry import query, rounded
+from evalspark.session import cut_lineage
 from evalspark.plans.sql import ANALYSIS, METHOD_DIM, SCOPE_DIM, SWEEP, TASK_DIM, _values
 
 TASK_COLS_SQL = ", ".join(f'"{t}"' for t in K.TASKS)
@@ -46,13 +48,16 @@ def q_first_run(spark, sf):
         "method", "scope", "run_dir", "macro_average"))
 
 
-@query("paired_gains", ANALYSIS + "select g.scope, s.scope_label, "
-       + ", ".join(f"round(max(case when task = '{t}' then delta end), 6) as \"{t}\"" for t in K.TASKS)
-       + ", round(max(m.macro_delta), 6) as macro_average "
-       f"from gl g join gm m on g.scope = m.scope join {SCOPE_DIM} s on g.scope = s.scope "
-       "group by g.scope, s.scope_label")
+GAINS_SQL = (ANALYSIS + "select g.scope, s.scope_label, "
+             + ", ".join(f"round(max(case when task = '{t}' then delta end), 6) as \"{t}\"" for t in K.TASKS)
+             + ", round(max(m.macro_delta), 6) as macro_average "
+             f"from gl g join gm m on g.scope = m.scope join {SCOPE_DIM} s on g.scope = s.scope "
+             "group by g.scope, s.scope_label")
+
+
+@query("paired_gains", GAINS_SQL)
 def q_paired_gains(spark, sf):
-    return rounded(P.analysis(spark, sf, cache=False).gains)
+    return rounded(P.analysis(spark, sf, cache=False).gains.drop("lora_macro", "dora_macro"))
 
 
 @query("long_accuracy", LABELED + f"""
@@ -131,11 +136,14 @@ COMPARISON_SQL = ANALYSIS + f""", comp as (
 """
 
 
-@query("reference_comparison", COMPARISON_SQL + """
+REFERENCE_SQL = (COMPARISON_SQL + """
 select source, c.method, m.method_label, paper_method, "rank", params_percent,
   round(macro_average, 6) as macro_average, round(macro_average * 100, 6) as macro_points, """
        + ", ".join(f'round("{t}", 6) as "{t}"' for t in K.TASKS)
        + f" from comp c join {METHOD_DIM} m on c.method = m.method")
+
+
+@query("reference_comparison", REFERENCE_SQL)
 def q_reference_comparison(spark, sf):
     return rounded(compare.reference_comparison(P.run_rows(spark, sf)))
 
@@ -205,6 +213,23 @@ def q_gain_distribution(spark, sf):
     return rounded(compare.gain_distribution(P.analysis(spark, sf, cache=False).long_gains))
 
 
+@query("gain_distribution_sketch", """
+select l_returnflag, round(min(l_extendedprice), 6) as least, round(max(l_extendedprice), 6) as greatest, count(*) as n,
+  true as q1_within, true as median_within, true as q3_within from lineitem group by l_returnflag""")
+def q_gain_distribution_sketch(spark, sf):
+    """The box statistics by a sketch over groups of many rows: the rank of each
+    returned quartile is counted exactly and held against the stated error."""
+    rows = B.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"))
+    box = compare.box_statistics(rows, "price", ["l_returnflag"], exact=False)
+    # One row per group: a few short ones.
+    near = rows.join(F.broadcast(box), "l_returnflag").groupBy("l_returnflag", "least", "greatest", "n").agg(*[
+        # The share below, and the share up to, the value enclose the asked rank.
+        ((F.count_if(F.col("price") < F.col(c)) / F.count(F.lit(1)) <= r + compare.SKETCH_ERROR)
+         & (F.count_if(F.col("price") <= F.col(c)) / F.count(F.lit(1)) >= r - compare.SKETCH_ERROR)).alias(f"{c}_within")
+        for c, r in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    return rounded(near)
+
+
 @query("macro_by_condition", LABELED + "select scope, scope_label, method, method_label, "
        "round(macro_average * 100, 6) as macro_points from labeled")
 def q_macro_by_condition(spark, sf):
@@ -223,5 +248,6 @@ select
   (select count(*) from ts) as n_tasks,
   (select count(*) from ts where positive_scopes > 0) as tasks_with_positive_scope""")
 def q_headline(spark, sf):
-    a = P.analysis(spark, sf, cache=False)
-    return rounded(compare.headline(a.scope_summary, a.task_summary))
+    # Both tables come from the gains, which are a few rows: written once.
+    gains = cut_lineage(P.analysis(spark, sf, cache=False).gains)
+    return rounded(compare.headline(compare.scope_summary(None, gains), compare.task_summary(gains)))

@@ -92,6 +92,8 @@ spec as (
     cast(coalesce(o.ovr_lr, m.model_lr) as double) as learning_rate,
     cast(m.cutoff_len as int) as cutoff_len, cast(t.per_device_batch_size as int) as per_device_batch_size,
     cast(t.effective_batch_size as int) as effective_batch_size, t.gradient_checkpointing, t.use_4bit,
+    'nf4' as bnb_4bit_quant_type, 'bfloat16' as bnb_4bit_compute_dtype, true as bnb_4bit_use_double_quant,
+    'data/commonsense_15k.json' as train_data_path,
     cast(e.max_train_samples as int) as max_train_samples, cast(e.val_set_size as int) as val_set_size,
     cast(e.num_epochs as int) as num_epochs, cast(e.save_steps as int) as save_steps,
     cast(e.eval_steps as int) as eval_steps, cast(e.seed as int) as seed,
@@ -103,20 +105,56 @@ spec as (
 
 SPEC_COLS = ["method", "scope", "requested_rank", "rank", "alpha", "dropout", "learning_rate",
              "cutoff_len", "per_device_batch_size", "effective_batch_size",
-             "gradient_checkpointing", "use_4bit", "max_train_samples", "val_set_size",
+             "gradient_checkpointing", "use_4bit", "bnb_4bit_quant_type", "bnb_4bit_compute_dtype",
+             "bnb_4bit_use_double_quant", "train_data_path", "max_train_samples", "val_set_size",
              "num_epochs", "save_steps", "eval_steps", "seed", "max_new_tokens"]
 
 
-@query("overlay_presets", SPEC_SQL + "select " + ", ".join(
+_OVERLAY_SQL = SPEC_SQL + "select " + ", ".join(
     "round(dropout, 6) as dropout" if c == "dropout" else
     "round(learning_rate, 8) as learning_rate" if c == "learning_rate" else c
-    for c in SPEC_COLS) + ", len(task_names) as n_tasks from spec")
-def q_overlay_presets(spark, sf):
-    spec = I.overlay_presets(run_requests(spark, sf))
+    for c in SPEC_COLS) + ", len(task_names) as n_tasks from spec"
+
+
+def _overlaid(spec):
     return rounded(spec.select(*SPEC_COLS, F.size("task_names").cast("bigint").alias("n_tasks"))
                    .withColumn("learning_rate", F.round("learning_rate", 8)))
 
 
+@query("overlay_presets", _OVERLAY_SQL)
+def q_overlay_presets(spark, sf):
+    return _overlaid(I.overlay_presets(run_requests(spark, sf)))
+
+
+def _toml(values: dict) -> str:
+    """A preset as TOML text, absent values left out."""
+    def text(v) -> str:
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, (list, tuple)):
+            return "[" + ", ".join(map(text, v)) + "]"
+        return f'"{v}"' if isinstance(v, str) else repr(v)
+
+    lines = [f"{k} = {text(v)}" for k, v in values.items() if v is not None and not isinstance(v, dict)]
+    for method, over in values.get("method_overrides", {}).items():
+        lines += [f"[method_overrides.{method}]", *(f"{k} = {text(v)}" for k, v in over.items())]
+    return "\n".join(lines) + "\n"
+
+
+@query("overlay_presets_from_files", _OVERLAY_SQL)
+def q_overlay_presets_from_files(spark, sf):
+    """The same specs, with the presets read back from TOML files."""
+    from evalspark.session import scratch_path
+    from evalspark.sources import readers, writers
+
+    root = scratch_path(spark, "presets")
+    for folder, given in (("experiments", K.EXPERIMENT_PRESETS), ("models", K.MODEL_PRESETS), ("runtime", K.RUNTIME_PRESETS)):
+        files = spark.createDataFrame([(n, _toml(v)) for n, v in given.items()], "name string, text string")
+        writers.write_text_by_run(files, f"{root}/{folder}", "text", "name")
+    presets = readers.read_presets(spark, root, pattern="*/*.txt")
+    return _overlaid(I.overlay_presets(run_requests(spark, sf), presets))
+
+
 @query("run_matrix", f"""with {PREDICTIONS},
 req as (select distinct '{MODEL}' as model, method, '{RUNTIME}' as runtime,
           cast(case id % 7 when 0 then 32 when 1 then 16 when 2 then 8 when 3 then 4
@@ -146,12 +184,22 @@ _SNAP_COLS = ["method", "scope", "rank", "alpha", "dropout", "learning_rate", "m
               "val_set_size", "seed"]
 
 
+# The value of each key as the snapshot's text has it: numbers as doubles.
+_SNAP_TEXT = ("method", "scope")
+
+
 @query("drop_null_fields", SPEC_SQL + "select distinct method, scope, rank, concat_ws(',', " + ", ".join(
-    f"case when {c} is not null then '{c}' end" for c in sorted(_SNAP_COLS)) + ") as present_keys from spec")
+    f"case when {c} is not null then '{c}' end" for c in sorted(_SNAP_COLS)) + ") as present_keys, " + ", ".join(
+    f"{c} as snap_{c}" if c in _SNAP_TEXT else f"round(cast({c} as double), 8) as snap_{c}" for c in _SNAP_COLS) + " from spec")
 def q_drop_null_fields(spark, sf):
-    s = I.drop_null_fields(_unique_specs(spark, sf), cols=_SNAP_COLS)
+    specs = I.overlay_presets(run_requests(spark, sf)).select(*_SNAP_COLS).distinct()
+    s = I.drop_null_fields(specs, cols=_SNAP_COLS)
     keys = F.array_join(F.array_sort(F.json_object_keys("snapshot_json")), ",")
-    return s.select("method", "scope", "rank", keys.alias("present_keys"))
+
+    def value(c):
+        text = F.get_json_object("snapshot_json", f"$.{c}")
+        return (text if c in _SNAP_TEXT else F.round(text.cast("double"), 8)).alias(f"snap_{c}")
+    return s.select("method", "scope", "rank", keys.alias("present_keys"), *map(value, _SNAP_COLS))
 
 
 @query("accumulation_steps", SPEC_SQL + "select distinct method, scope, rank, per_device_batch_size, "

@@ -152,24 +152,29 @@ def q_read_run_metrics(spark, sf):
                                   *[F.col(f"`{t}`") for t in K.TASKS], "macro_average", "n_tasks"))
 
 
-@query("write_metrics_json", RUN_SQL + "select method || '-' || scope as run_dir, "
-       "round(macro_average, 6) as macro_average, n_tasks from runs")
+@query("write_metrics_json", RUN_SQL + f"""select method || '-' || scope as run_dir, method || '-' || scope
+  as run_name, method, scope, {TASK_COLS.replace('r."', '"')}, round(macro_average, 6) as macro_average, n_tasks
+from runs""")
 def q_write_metrics_json(spark, sf):
     root = writers.write_metrics_json(run_metric_rows(spark, sf), scratch_path(spark, "metrics-only"))
     back = spark.read.option("multiLine", True).json(root)
     # partition folders come back as the ``_run`` column
-    return rounded(back.select(F.col("_run").alias("run_dir"), "macro_average", "n_tasks"))
+    return rounded(back.select(F.col("_run").alias("run_dir"), "run_name", "method", "scope",
+                               *[F.col(f"`{t}`") for t in K.TASKS], "macro_average", "n_tasks"))
 
 
-@query("empty_summary", RUN_SQL + "select cast(null as varchar) as run_name, "
-       "cast(null as double) as macro_average from runs where n_tasks = 0")
+@query("empty_summary", RUN_SQL + """select h.place, h.column_name, (select count(*) from runs where n_tasks = 0) as n_rows
+from (values (0, 'run_name'), (1, 'macro_average')) h(place, column_name)""")
 def q_empty_summary(spark, sf):
     """summarise the runs that evaluated no task -- none exist, so no
-    metrics file is written and the summary is the bare header."""
+    metrics file is written and the summary is the bare header: its columns
+    in order, each with the number of its rows."""
     rows = run_metric_rows(spark, sf).filter(F.col("n_tasks") == 0)
     root = writers.write_metrics_json(rows, scratch_path(spark, "metrics-none"))
-    metrics = readers.read_run_metrics(spark, root, pattern="*/*.json")
-    return R.summarize_runs(metrics, spark=spark)
+    summary = R.summarize_runs(readers.read_run_metrics(spark, root, pattern="*/*.json"), spark=spark)
+    names = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("column_name")) for i, c in enumerate(summary.columns)])
+    counted = summary.agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.select(F.explode(names).alias("h"), "n_rows").select("h.place", "h.column_name", "n_rows")
 
 
 @query("read_run_metadata", RUN_SQL + "select run_name as run_dir, trainable_parameters, "
@@ -232,49 +237,63 @@ _TABLE_HEADERS = {
 }
 
 
+# What tells a table's rows apart.
+_TABLE_KEYS = {"summary_table": ["method", "scope"], "dora_gains_table": ["scope"], "scope_summary": ["scope"],
+               "task_summary": ["task"], "official_reference_comparison": ["source", "method"]}
+_TABLE_TEXT = {"method", "scope", "scope_label", "best_task", "worst_task", "task", "task_label", "best_scope",
+               "best_scope_label", "worst_scope", "worst_scope_label", "source", "method_label", "paper_method"}
+
+
 def _write_tables_sql() -> str:
+    """Every cell of the five tables: table, row, column, and its text or number."""
+    from evalspark.plans import q_compare as C
     from evalspark.plans.sql import ANALYSIS
-    parts = [
-        ("summary_table", "select count(*) from runs"),
-        ("dora_gains_table", "select count(*) from gm"),
-        ("scope_summary", "select count(*) from gm"),
-        ("task_summary", "select count(distinct task) from gl"),
-        ("official_reference_comparison",
-         f"select count(*) + {len(K.PUBLISHED_REFERENCE)} from runs where scope = 'full'"),
-    ]
-    sel = "\nunion all\n".join(
-        f"select '{n}' as table_name, ({q}) as n_rows, '{','.join(_TABLE_HEADERS[n])}' as header"
-        for n, q in parts)
-    return ANALYSIS + sel
+    tables = {
+        "summary_table": ANALYSIS + "select * from runs",
+        "dora_gains_table": C.GAINS_SQL,
+        "scope_summary": C.SCOPE_SUMMARY_SQL,
+        "task_summary": C.TASK_SUMMARY_SQL,
+        "official_reference_comparison": C.REFERENCE_SQL,
+    }
+    cells = []
+    for name, header in _TABLE_HEADERS.items():
+        key = " || '|' || ".join(_TABLE_KEYS[name])
+        for i, c in enumerate(header):
+            value = (f'"{c}" as text_value, cast(null as double) as number_value' if c in _TABLE_TEXT else
+                     f'cast(null as varchar) as text_value, round(cast("{c}" as double), 6) + 0.0 as number_value')
+            cells.append(f"select '{name}' as table_name, {key} as row_key, {i} as place, '{c}' as column_name, {value} from t_{name}")
+    return "with " + ", ".join(f"t_{n} as ({q})" for n, q in tables.items()) + "\n" + "\nunion all\n".join(cells)
 
 
 @query("write_tables", _write_tables_sql())
 def q_write_tables(spark, sf):
     from evalspark.operators import compare
+    from evalspark.operators.common import ord_of
     # Five tables share the run rows and gains: compute those once.
     a = P.analysis(spark, sf, cache=True)
     comp = compare.reference_comparison(a.runs)
-    tables = {
-        "summary_table": (a.runs, _TABLE_HEADERS["summary_table"]),
-        "dora_gains_table": (a.gains, _TABLE_HEADERS["dora_gains_table"]),
-        "scope_summary": (a.scope_summary, _TABLE_HEADERS["scope_summary"]),
-        "task_summary": (a.task_summary, _TABLE_HEADERS["task_summary"]),
-        "official_reference_comparison": (comp, _TABLE_HEADERS["official_reference_comparison"]),
-    }
-    from evalspark.operators.common import ord_of
+    frames = {"summary_table": a.runs, "dora_gains_table": a.gains, "scope_summary": a.scope_summary,
+              "task_summary": a.task_summary, "official_reference_comparison": comp}
     order = {"scope_summary": ord_of(F.col("scope"), list(K.SCOPES)),
              "dora_gains_table": ord_of(F.col("scope"), list(K.SCOPES)),
              "task_summary": ord_of(F.col("task"), list(K.TASKS))}
-    paths = writers.write_tables(scratch_path(spark, "tables"), tables, sort_by=order)
+    paths = writers.write_tables(scratch_path(spark, "tables"), {n: (df, _TABLE_HEADERS[n]) for n, df in frames.items()},
+                                 sort_by=order)
     out = None
     for name, path in paths.items():
         back = spark.read.option("header", True).csv(path)
-        one = back.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("table_name"), "n_rows", F.lit(",".join(back.columns)).alias("header"))
+        key = F.concat_ws("|", *_TABLE_KEYS[name])
+        cells = F.array(*[F.struct(
+            F.lit(i).alias("place"), F.lit(c).alias("column_name"),
+            (F.col(f"`{c}`") if c in _TABLE_TEXT else F.lit(None).cast("string")).alias("text_value"),
+            (F.lit(None).cast("double") if c in _TABLE_TEXT else F.col(f"`{c}`").cast("double")).alias("number_value"))
+            for i, c in enumerate(back.columns)])
+        one = back.select(F.lit(name).alias("table_name"), key.alias("row_key"), F.explode(cells).alias("c")).select(
+            "table_name", "row_key", "c.*")
         out = one if out is None else out.unionByName(one)
     a.runs.unpersist()
     a.gains.unpersist()
-    return out
+    return rounded(out)
 
 
 SPEC_TOML_COLS = ["run_dir", "method", "scope", "rank", "alpha", "dropout", "learning_rate",

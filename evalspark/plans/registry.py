@@ -45,6 +45,7 @@ def load_all() -> None:
         q_adapters,
         q_compare,
         q_configs,
+        q_flows,
         q_normalize,
         q_prompts,
         q_scoring,

@@ -4,6 +4,7 @@ known, so no inference pass runs over the data."""
 from __future__ import annotations
 
 import json
+import re
 import tomllib
 from collections.abc import Iterator, Sequence
 
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 from evalspark import constants as K
 from evalspark.functions.text import as_text
 from evalspark.operators.common import require
+from evalspark.operators.configs import PRESET_FOLDERS, PRESET_SCHEMAS, Presets
+from evalspark.session import cut_lineage
 from evalspark.sources.places import array_objects, placed, scanned
 
 TRAINING_SCHEMA = "instruction string, input string, output string"
@@ -108,20 +111,45 @@ def _run_dir_of(path_col):
     return F.regexp_replace(folder, r"^[^=]*=", "")
 
 
-def _scan_json_files(spark: SparkSession, root: str, pattern: str, mode: str,
-                     schema: str | T.StructType | None = None) -> DataFrame | None:
-    reader = spark.read.option("multiLine", True).option("mode", mode)
-    if schema is not None:
-        reader = reader.schema(schema)
+def _json_texts(spark: SparkSession, root: str, pattern: str) -> DataFrame | None:
+    """``run_dir`` and whole text of every file that matches; None for none."""
     try:
-        df = reader.json(f"{root.rstrip('/')}/{pattern}")
+        text = spark.read.text(f"{root.rstrip('/')}/{pattern}", wholetext=True)
     except AnalysisException as err:
         if "PATH_NOT_FOUND" in str(err) or "Path does not exist" in str(err):
             return None
         raise
-    if not df.columns:
+    rows = text.select(_run_dir_of(F.col("_metadata.file_path")).alias("run_dir"), F.col("value").alias("text"))
+    return rows.filter(F.trim("text") != "")
+
+
+def _union_schema(texts: DataFrame, strict: bool) -> T.StructType | None:
+    """The union of all keys of JSON objects, from one aggregate over their
+    parsed forms. Numbers with a point are doubles; a key that is only ever
+    null, or of types that don't agree, is text."""
+    parse = F.parse_json if strict else F.try_parse_json
+    told = texts.agg(F.schema_of_variant_agg(parse("text"))).first()[0]
+    if not told.startswith("OBJECT<"):
+        return None
+    ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)|FLOAT", "DOUBLE", told.replace("OBJECT<", "STRUCT<"))
+    return T.DataType.fromDDL(re.sub(r"\b(VOID|VARIANT)\b(?=[,>])", "STRING", ddl))
+
+
+def _scan_json_files(spark: SparkSession, root: str, pattern: str, strict: bool) -> DataFrame | None:
+    """Objects of JSON files, one a file, as columns of all keys. Files are
+    read once: their texts (one per run) are kept in the checkpoint folder,
+    and both the keys and the values come from there."""
+    texts = _json_texts(spark, root, pattern)
+    if texts is None:
+        return None
+    texts = cut_lineage(texts)
+    schema = _union_schema(texts, strict)
+    if schema is None or not schema.fields:
         return None
-    return df.withColumn("run_dir", _run_dir_of(F.col("_metadata.file_path")))
+    if not strict:
+        texts = texts.filter(F.try_parse_json("text").isNotNull())
+    return texts.select("run_dir", F.from_json("text", schema, {"mode": "FAILFAST"}).alias("_r")).select(
+        *[F.col("_r").getField(f.name).alias(f.name) for f in schema.fields], "run_dir")
 
 
 # A run's metrics: one named file, or the part that ``write_metrics_json`` wrote.
@@ -133,13 +161,13 @@ def read_run_metrics(spark: SparkSession, root: str, pattern: str = METRICS_FILE
     """A5: every run's metrics file under ``root``; the schema is the union of
     all keys. ``strict`` fails on a malformed file, otherwise such files are
     skipped. None when nothing matches."""
-    return _scan_json_files(spark, root, pattern, "FAILFAST" if strict else "DROPMALFORMED")
+    return _scan_json_files(spark, root, pattern, strict)
 
 
 def read_run_metadata(spark: SparkSession, root: str,
                       pattern: str = "*/run.metadata.json") -> DataFrame | None:
     """Optional per-run metadata files, keyed by run folder."""
-    return _scan_json_files(spark, root, pattern, "FAILFAST")
+    return _scan_json_files(spark, root, pattern, True)
 
 
 SPEC_SCHEMA = T.StructType([
@@ -251,6 +279,30 @@ def read_run_specs(spark: SparkSession, root: str,
     )
 
 
+def read_presets(spark: SparkSession, root: str, pattern: str = "*.toml") -> Presets:
+    """I1's preset tables from folders of TOML files: ``experiments``,
+    ``models`` and ``runtime`` under ``root``, one file a preset. A file's name
+    without ending (or, for a part file, its folder) names the preset. A folder
+    without files is an empty table; a value of another type fails the job."""
+    tables = {}
+    for kind, folder in PRESET_FOLDERS.items():
+        schema = T.StructType.fromDDL(PRESET_SCHEMAS[kind])
+        try:
+            text = spark.read.text(f"{root.rstrip('/')}/{folder}/{pattern}", wholetext=True)
+        except AnalysisException as err:
+            if "PATH_NOT_FOUND" not in str(err):
+                raise
+            tables[kind] = spark.createDataFrame([], "name string, " + PRESET_SCHEMAS[kind])
+            continue
+        path = F.col("_metadata.file_path")
+        parsed = text.select("value", path.alias("path")).mapInPandas(_toml_to_json, "path string, json string")
+        stem = F.regexp_extract("path", r"([^/]+)\.toml$", 1)
+        name = F.when(stem != "", stem).otherwise(_run_dir_of(F.col("path")))
+        tables[kind] = cut_lineage(parsed.select(name.alias("name"), F.from_json("json", schema, {"mode": "FAILFAST"}).alias("p"))
+                                   .select("name", "p.*"))
+    return Presets(**tables)
+
+
 def read_results_csv(spark: SparkSession, path: str,
                      schema: str | T.StructType | None = None) -> DataFrame:
     """Headered CSV. Give a schema in production; without one numerics are

@@ -6,10 +6,10 @@ the driver. Files are equal to the reference's as data, not as bytes.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,30 +67,24 @@ def write_tables(out_dir: str, tables: Mapping[str, tuple[DataFrame, Sequence[st
     return paths
 
 
-def _json_array_lines(columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # One JSON array per partition: "[" ... "]" with comma-separated rows.
-        first = True
-        yield pd.DataFrame({"value": ["["]})
-        for pdf in batches:
-            lines = []
-            for rec in pdf[columns].to_dict("records"):
-                clean = {k: v for k, v in rec.items() if v is not None and v == v}
-                lines.append(("  " if first else ", ") + json.dumps(clean, sort_keys=True))
-                first = False
-            if lines:
-                yield pd.DataFrame({"value": lines})
-        yield pd.DataFrame({"value": ["]"]})
-    return run
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One JSON array per partition around lines that the JVM has written."""
+    line = lambda values: pa.RecordBatch.from_arrays([values], names=["value"])
+    yield line(pa.array(["["], pa.string()))
+    lead = "  "
+    for batch in batches:
+        if batch.num_rows:
+            yield line(pc.binary_join_element_wise(pa.array([lead, *[", "] * (batch.num_rows - 1)], pa.string()), batch.column(0), ""))
+            lead = ", "
+    yield line(pa.array(["]"], pa.string()))
 
 
 def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Write each partition as one JSON *array* file (null keys omitted) --
     the shape of the reference's training file, produced without gathering
     rows anywhere."""
-    cols = list(df.columns)
-    lines = df.mapInPandas(_json_array_lines(cols), "value string")
-    lines.write.mode(mode).text(path)
+    objects = _sorted_select(df).select(F.to_json(F.struct("*")).alias("value"))
+    objects.mapInArrow(_array_lines, "value string").write.mode(mode).text(path)
     return path
 
 
