@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm import words
-from evalspark.llm.common import as_bytes, written
+from evalspark.llm.common import as_bytes, quoted, written
 
 LENGTH, GRAM = 400, 128
 SEGMENT = 1 << 20  # places of a text that are hashed at once
@@ -243,8 +243,8 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(k, a, n): runs of places, per text (``k``: md5 of its bytes), at which
     a string of ``length`` bytes begins that begins somewhere else too. Runs
     may touch and repeat. Rows of equal text are one text with copies."""
-    t = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    source = (docs.select(F.col(id_col).alias("id"), t.alias("t"))
+    t = F.coalesce(quoted(text_col).cast("binary"), F.lit(b""))
+    source = (docs.select(quoted(id_col).alias("id"), t.alias("t"))
               .filter(F.octet_length("t") >= length).withColumn("k", F.unhex(F.md5("t"))))
     rows = written(source.select("k", "t").mapInArrow(_anchor_rows(length, gram), _ANCHOR_ROW), "anchors")
     key = ["bucket", "around"]
@@ -294,10 +294,13 @@ def _cut_rows(length: int, with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, spans_out, digests, kept_out = [], [], [], [], []
-            for value, runs in zip(batch.column("t"), batch.column("runs")):
+            for value, runs, copied in zip(batch.column("t"), batch.column("runs"), batch.column("copied")):
                 text = as_bytes(value)
-                pairs = [] if runs.values is None else list(zip(
-                    runs.values.field("a").to_pylist(), runs.values.field("n").to_pylist()))
+                if copied.as_py():  # every string of the text begins in a copy too
+                    pairs = [(0, len(text) - length + 1)] if len(text) >= length else []
+                else:
+                    pairs = [] if runs.values is None else list(zip(
+                        runs.values.field("a").to_pylist(), runs.values.field("n").to_pylist()))
                 spans, kept = cut(text, pairs, length)
                 sizes.append(len(text))
                 gone.append(len(text) - len(kept))
@@ -329,10 +332,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("gram must be at least 8 and at most length - 32")
     runs = written(repeated_places(docs, id_col, text_col, length, gram).groupBy("k").agg(
         F.collect_list(F.struct("a", "n")).alias("runs")), "runs")
-    t = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    texts = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), F.unhex(F.md5(t)).alias("k"))
+    t = F.coalesce(quoted(text_col).cast("binary"), F.lit(b""))
+    texts = docs.select(quoted(id_col).alias("doc_id"), t.alias("t"), F.unhex(F.md5(t)).alias("k"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return (texts.join(runs, "k", "left").select("doc_id", "t", "runs").mapInArrow(
+    # Texts with copies go whole: they meet a mark, not a list of runs for each copy.
+    copied = texts.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", F.lit(True).alias("copied"))
+    told = runs.join(copied, "k", "full_outer").select(
+        "k", F.when(F.col("copied").isNull(), F.col("runs")).alias("runs"), F.coalesce("copied", F.lit(False)).alias("copied"))
+    return (texts.join(told, "k", "left").select("doc_id", "t", "runs", "copied").mapInArrow(
         _cut_rows(length, with_bytes),
         f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
         + (", kept binary" if with_bytes else "")))
