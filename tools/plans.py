@@ -17,7 +17,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from evalspark.plans import registry  # noqa: E402
 from evalspark.session import get_session  # noqa: E402
 
 COUNTERS = {
@@ -54,8 +54,9 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     out_path = sys.argv[2] if len(sys.argv) > 2 else "PLANS.md"
     spark = get_session("local[8]", shuffle_partitions=16)
+    registry.load_all()
     rows = []
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(registry.QUERIES.items()):
         df = fn(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
         rows.append((name, summarize(plan)))
