@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalspark import constants as K
 
 # A dimension side is broadcast only when it is proven to be at most this many
 # rows; beyond that the join falls back to a shuffle join.
